@@ -117,29 +117,48 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     n_cells = cells or _cells(n_groups)
     full = [*key, "piece"]
     groups = groups.withColumn("cell", F.pmod(F.xxhash64(*full), F.lit(n_cells)).cast("int"))
+    # fewer than n_cells * shards groups can outweigh what a shard gets from a cell
+    limit = total // (n_cells * shards) + 1
+    above = [(r.h, r.text_crc32, r["size"], r.piece, r.bytes) for r in groups.where(F.col("bytes") > limit).orderBy(*full).collect()] if n_cells > 1 else []
+    first = difference([([r[4]], [i]) for i, r in enumerate(above)], shards) if above else []
+    loads = [sum(above[i][4] for i in tags) for tags in first]
+    light = total - sum(loads)
+    if above:
+        groups = groups.where(F.col("bytes") <= limit)
 
     def within(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in full])
         weights = table.column("bytes").to_pylist()
+        items = [([w], [i]) for i, w in enumerate(weights)]
+        if loads:
+            # the heavy groups' loads, scaled to this cell, are one more partial partition
+            own = sum(weights)
+            items.append(([load * own // light for load in loads], [len(weights) + s for s in range(shards)]))
         local = [0] * len(weights)
-        for s, tags in enumerate(difference([([w], [i]) for i, w in enumerate(weights)], shards)):
+        for s, tags in enumerate(difference(items, shards)):
+            at = next((t - len(weights) for t in tags if t >= len(weights)), s)
             for i in tags:
-                local[i] = s
+                if i < len(weights):
+                    local[i] = at
         return table.append_column("local", pa.array(local, pa.int32()))
 
     placed = groups.repartition(n_cells, "cell").groupBy("cell").applyInArrow(within, "h long, text_crc32 long, size long, piece int, bytes long, cell int, local int")
     placed = materialize(placed, "shard-groups-placed")
-    loads = placed.groupBy("cell", "local").agg(F.sum("bytes").alias("bytes")).orderBy("cell", "local").collect()
-    tuples: dict[int, tuple[list[int], list[int]]] = {}
-    for tag, r in enumerate(loads):
-        item = tuples.setdefault(r.cell, ([], []))
-        item[0].append(r.bytes)
-        item[1].append(tag)
-    final = [(loads[tag].cell, loads[tag].local, s) for s, tags in enumerate(difference(list(tuples.values()), shards)) for tag in tags]
     spark = docs.sparkSession
-    # one row for each cell and shard, as counted by n_cells
-    names = F.broadcast(spark.createDataFrame(final, "cell int, local int, shard int"))
-    placed = placed.join(names, ["cell", "local"]).select(*full, "shard")
+    if above:
+        fixed = [(*above[i][:4], s) for s, tags in enumerate(first) for i in tags]
+        placed = placed.select(*full, F.col("local").alias("shard")).unionByName(spark.createDataFrame(fixed, "h long, text_crc32 long, size long, piece int, shard int"))
+    else:
+        sums = placed.groupBy("cell", "local").agg(F.sum("bytes").alias("bytes")).orderBy("cell", "local").collect()
+        tuples: dict[int, tuple[list[int], list[int]]] = {}
+        for tag, r in enumerate(sums):
+            item = tuples.setdefault(r.cell, ([], []))
+            item[0].append(r.bytes)
+            item[1].append(tag)
+        final = [(sums[tag].cell, sums[tag].local, s) for s, tags in enumerate(difference(list(tuples.values()), shards)) for tag in tags]
+        # one row for each cell and shard, as counted by n_cells
+        names = F.broadcast(spark.createDataFrame(final, "cell int, local int, shard int"))
+        placed = placed.join(names, ["cell", "local"]).select(*full, "shard")
     rows = materialize(salted_join(rows, placed, full, rowid, "inner").select("doc_id", "size", "text_crc32", "h", "shard"), "shard-placed")
     return _slots(rows, numbered)
 
