@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, packing, sharding, simhash
+from quern.llm import decontaminate, langid, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()))
+    return langid.identify(docs, model).withColumn("held_out", langid.held_out("doc_id"))
+
+
 def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -42,6 +48,7 @@ def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op6_karmarkar_karp_sharding": op6_karmarkar_karp_sharding,
     "op7_bounded_space_packing": op7_bounded_space_packing,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
