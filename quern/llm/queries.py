@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, langid, packing, sharding, simhash
+from quern.llm import decontaminate, langid, packing, pii, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,21 @@ def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", langid.held_out("doc_id"))
 
 
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts and digest of the base kinds, and all spans, from (doc_id, spans)."""
+    base = found.withColumn("__base", F.filter("spans", lambda s: s["kind"].isin(*kinds)))
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [of(k) for k in kinds]
+    return base.select("doc_id", *counts, F.sha2(pii.joined("__base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
+def op5_anchor_expansion_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.scan(_table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -49,6 +64,7 @@ def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
+    "op5_anchor_expansion_pii": op5_anchor_expansion_pii,
     "op6_karmarkar_karp_sharding": op6_karmarkar_karp_sharding,
     "op7_bounded_space_packing": op7_bounded_space_packing,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
