@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, langid, packing, pii, sharding, simhash
+from quern.llm import decontaminate, langid, packing, pii, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.scan(_table(spark, sf_dir, "documents")), secrets.BASE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_karmarkar_karp_sharding": op6_karmarkar_karp_sharding,
     "op7_bounded_space_packing": op7_bounded_space_packing,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
+    "op10_randomness_secret_scan": op10_randomness_secret_scan,
 }
 
 _WORDS_SQL = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
