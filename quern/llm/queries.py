@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, langid, packing, pii, secrets, sharding, simhash
+from quern.llm import decontaminate, langid, ordermh, packing, pii, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermh.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()))
@@ -67,6 +71,7 @@ def op10_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_order_minhash": op2_order_minhash,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op5_anchor_expansion_pii": op5_anchor_expansion_pii,
     "op6_karmarkar_karp_sharding": op6_karmarkar_karp_sharding,
