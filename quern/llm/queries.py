@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, langid, ordermh, packing, pii, secrets, sharding, simhash
+from quern.llm import decontaminate, htmltext, langid, ordermh, packing, pii, secrets, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op7_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_bpe_path(), keep_ids=False).drop("ids")
 
 
+def op8_layout_aware_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_anchor_expansion_pii": op5_anchor_expansion_pii,
     "op6_karmarkar_karp_sharding": op6_karmarkar_karp_sharding,
     "op7_bounded_space_packing": op7_bounded_space_packing,
+    "op8_layout_aware_html": op8_layout_aware_html,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
     "op10_randomness_secret_scan": op10_randomness_secret_scan,
 }
