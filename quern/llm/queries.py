@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, htmltext, langid, ordermh, packing, pii, secrets, sharding, simhash
+from quern.llm import decontaminate, htmltext, langid, ordermh, packing, pii, rollup, secrets, sharding, simhash
+from quern.llm.common import materialize, salted_join, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,47 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermh.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def _maintained(spark: SparkSession, sf_dir: str, tokenizers: tuple[str, ...]) -> DataFrame:
+    """Totals after all documents came in, copies of a text went, and words with digits were scrubbed.
+
+    Deletes and revisions are replayed, which must change nothing.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.coalesce(F.sha2("text", 256), F.lit("null")).alias("h"))
+    text = F.col("text")
+    narrow = docs.withColumns({"words": rollup.words(text), "words_kept": rollup.words_without_digit(text)})
+    names = [("words", "words", "words_kept")]
+    if "byte_bpe_50k" in tokenizers:
+        narrow = narrow.withColumn("scrubbed", F.regexp_replace("text", rollup.WORD_WITH_DIGIT, ""))
+        narrow = rollup.bpe_counts(narrow, {"bpe": "text", "bpe_kept": "scrubbed"}, packing.byte_bpe_path())
+        names.append(("byte_bpe_50k", "bpe", "bpe_kept"))
+    else:
+        narrow = narrow.drop("text")
+    counts = materialize(narrow, "token-counts")
+    firsts = counts.groupBy("h").agg(F.min("doc_id").alias("first"))
+    counts = materialize(salted_join(counts, firsts, ["h"], F.xxhash64("doc_id"), "inner"), "token-counts-first")
+    each = F.explode(F.array(*[F.struct(F.lit(f"{n}-v1").alias("tokenizer"), F.col(a).alias("before"), F.col(b).alias("after")) for n, a, b in names])).alias("t")
+    every = counts.select("doc_id", "first", "source", "lang", each).select("doc_id", "first", "source", "lang", "t.*")
+    copies, kept = every.where("doc_id <> first"), every.where("doc_id = first")
+    totals = rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    batches = {
+        "insert": every.select(F.lit("insert").alias("op"), "source", "lang", "tokenizer", F.col("before").alias("n_tokens")),
+        "copies": copies.select(F.lit("delete").alias("op"), "source", "lang", "tokenizer", F.col("before").alias("n_tokens")),
+        "scrub": kept.select(F.lit("revise").alias("op"), "source", "lang", "tokenizer", F.col("after").alias("n_tokens"), F.col("before").alias("old_tokens")),
+    }
+    for name in ("insert", "copies", "copies", "scrub", "insert", "scrub"):
+        totals.commit(name, batches[name])
+    return totals.totals()
+
+
+def op3_delta_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _maintained(spark, sf_dir, ("words", "byte_bpe_50k"))
+
+
+def word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3 with the one tokenizer that SQL can express."""
+    return _maintained(spark, sf_dir, ("words",))
+
+
 def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()))
@@ -76,6 +119,8 @@ def op10_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_order_minhash": op2_order_minhash,
+    "op3_delta_token_rollups": op3_delta_token_rollups,
+    "word_rollups": word_rollups,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op5_anchor_expansion_pii": op5_anchor_expansion_pii,
     "op6_karmarkar_karp_sharding": op6_karmarkar_karp_sharding,
@@ -88,6 +133,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS_SQL = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "word_rollups": r"""
+SELECT source, lang, 'words-v1' AS tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM (
+  SELECT source, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth,
+    len(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: NOT regexp_matches(w, '[0-9]'))) AS n
+  FROM documents
+)
+WHERE nth = 1
+GROUP BY source, lang
+""",
     "op9_winnowing_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS_SQL.format("text")}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS_SQL.format("text")} AS w FROM benchmark),
