@@ -5,14 +5,490 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "documents_by_language"
+from quern.functions import identity, text, vectors
+from quern.operators import chunking, eligibility, evaluation, incremental, indexing, requests, retrieval
+from quern.plans import oracle
 
+FLAGSHIP = "rrf_hybrid"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL = oracle.SQL
 
-def documents_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count().withColumnRenamed("count", "n")
+BM25_QUERY = "The theaea onnd within"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"documents_by_language": documents_by_language}
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[fn.__name__] = fn
+    return fn
 
-ORACLE_SQL: dict[str, str] = {"documents_by_language": "SELECT lang, count(*) AS n FROM documents GROUP BY lang"}
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as the corpus that the engine indexes."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string")
+    return docs.select(name.alias("document_id"), F.concat("source", F.lit("/"), name).alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"))
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = corpus(spark, sf_dir)
+    terms = indexing.weighted_terms(docs)
+    return indexing.with_token_count(docs.select("document_id"), terms), terms
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six words of each benchmark passage."""
+    words = F.slice(F.split("text", " "), 1, 6)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(words, " ").alias("text"))
+
+
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("document_id"), "embedding", "label")
+
+
+def query_vectors(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The vectors of the first items, as queries of that number."""
+    return embedded(spark, sf_dir).where(F.col("document_id").cast("long") < most).select(F.col("document_id").alias("query_id"), "embedding")
+
+
+def rounded(ranked: DataFrame, *more: str) -> DataFrame:
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", F.round(F.col("score").cast("double"), 5).alias("score"), *more)
+
+
+# -- terms
+
+
+@query
+def analyze_terms(spark, sf_dir):
+    terms = text.analyze(corpus(spark, sf_dir), F.col("content"), "document_id")
+    return terms.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query
+def weighted_terms(spark, sf_dir):
+    return indexing.weighted_terms(corpus(spark, sf_dir))
+
+
+@query
+def token_counts(spark, sf_dir):
+    return indexed(spark, sf_dir)[0].select("document_id", "token_count")
+
+
+@query
+def term_stats(spark, sf_dir):
+    return indexing.term_stats(indexed(spark, sf_dir)[1])
+
+
+@query
+def corpus_stats(spark, sf_dir):
+    return indexing.corpus_stats(indexed(spark, sf_dir)[0]).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query
+def bulk_terms_text(spark, sf_dir):
+    return indexing.bulk_terms(indexed(spark, sf_dir)[1])
+
+
+# -- lexical retrieval
+
+
+@query
+def bm25_topk_single(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    return rounded(retrieval.bm25(docs, terms, spark.createDataFrame([("q", BM25_QUERY)], "query_id string, text string"), 50))
+
+
+@query
+def bm25_topk_multi(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    return rounded(retrieval.bm25(docs, terms, benchmark_queries(spark, sf_dir), 50))
+
+
+@query
+def bm25_conversation_queries(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND turn = 0")
+    queries = asked.select(F.col("conv_id").cast("string").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    return rounded(retrieval.bm25(docs, terms, queries, 10))
+
+
+# -- vectors
+
+
+@query
+def dense_topk(spark, sf_dir):
+    return rounded(retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir, 1), 50))
+
+
+@query
+def dense_topk_multi(spark, sf_dir):
+    return rounded(retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir, 20), 10))
+
+
+@query
+def dense_int8_topk(spark, sf_dir):
+    return rounded(retrieval.dense(indexing.quantize(embedded(spark, sf_dir)), query_vectors(spark, sf_dir, 5), 20, quantized=True))
+
+
+@query
+def cosine_double(spark, sf_dir):
+    e = embedded(spark, sf_dir)
+    q = F.broadcast(query_vectors(spark, sf_dir, 3).withColumnRenamed("embedding", "q"))
+    return e.crossJoin(q).select("query_id", "document_id", F.round(vectors.cosine_double(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+
+
+@query
+def int8_codec(spark, sf_dir):
+    q = indexing.quantize(embedded(spark, sf_dir))
+    total = F.aggregate("emb_i8", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    back = vectors.int8_decode(F.col("emb_i8"), F.col("emb_scale"), F.col("emb_offset"))
+    worst = F.array_max(F.zip_with(back, F.col("embedding"), lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
+    return q.select("document_id", F.round(F.col("emb_scale").cast("double"), 9).alias("scale"), F.array_min("emb_i8").cast("long").alias("low"), F.array_max("emb_i8").cast("long").alias("high"), total.alias("total"), (worst <= F.col("emb_scale").cast("double") * 0.51).alias("close"))
+
+
+@query
+def mrl_project_32(spark, sf_dir):
+    return embedded(spark, sf_dir).select("document_id", F.transform(vectors.l2_normalize(vectors.project(F.col("embedding"), 32)), lambda x: F.round(x.cast("double"), 5)).alias("v"))
+
+
+@query
+def l2_normalize(spark, sf_dir):
+    v = vectors.l2_normalize(F.col("embedding"))
+    return embedded(spark, sf_dir).select("document_id", F.transform(v, lambda x: F.round(x.cast("double"), 5)).alias("v"), F.round(vectors.norm_double(v), 5).alias("norm"))
+
+
+@query
+def layer_norm(spark, sf_dir):
+    return embedded(spark, sf_dir).select("document_id", F.transform(vectors.layer_norm(F.col("embedding")), lambda x: F.round(x.cast("double"), 4)).alias("v"))
+
+
+def _spread(pooled: DataFrame, key: str) -> DataFrame:
+    return pooled.select(key, F.posexplode("embedding").alias("at", "x")).select(key, F.col("at").cast("long").alias("at"), F.round("x", 7).alias("x"))
+
+
+@query
+def mean_pool_by_label(spark, sf_dir):
+    return _spread(indexing.mean_pool(embedded(spark, sf_dir), "label"), "label")
+
+
+@query
+def weighted_window_mean(spark, sf_dir):
+    e = embedded(spark, sf_dir)
+    unit = e.select("label", vectors.l2_normalize(F.col("embedding")).alias("embedding"), (F.col("document_id").cast("long") % 7 + 1).alias("tokens"))
+    return _spread(indexing.mean_pool(unit, "label", weight="tokens"), "label")
+
+
+# -- fusion
+
+
+def _both(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    queries = benchmark_queries(spark, sf_dir)
+    return retrieval.bm25(docs, terms, queries, 50), retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir, 20), 50)
+
+
+def _fused(ranked):
+    return rounded(ranked, F.round(F.col("lexical").cast("double"), 5).alias("lexical"), F.round(F.col("dense").cast("double"), 5).alias("dense"))
+
+
+@query
+def rrf_hybrid(spark, sf_dir):
+    """Items 0 to 19 have a vector, the others lexical candidates alone."""
+    return _fused(retrieval.rrf(*_both(spark, sf_dir), 10))
+
+
+@query
+def rrf_lexical_only(spark, sf_dir):
+    lexical, dense = _both(spark, sf_dir)
+    return _fused(retrieval.rrf(lexical, dense.limit(0), 10))
+
+
+@query
+def rrf_dense_only(spark, sf_dir):
+    lexical, dense = _both(spark, sf_dir)
+    return _fused(retrieval.rrf(lexical.limit(0), dense, 10))
+
+
+@query
+def rerank_overlap(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    queries = benchmark_queries(spark, sf_dir)
+    found = retrieval.bm25(docs, terms, queries, 20).withColumns({"lexical": F.col("score"), "dense": F.lit(None).cast("float")})
+    return rounded(retrieval.rerank(found, corpus(spark, sf_dir), retrieval.shared_terms, queries, 5))
+
+
+@query
+def collapse_to_parent(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    found = retrieval.bm25(docs, terms, benchmark_queries(spark, sf_dir), 50)
+    parents = corpus(spark, sf_dir).select("document_id", F.substring_index("path", "/", 1).alias("parent_id"))
+    return rounded(retrieval.collapse(found, parents))
+
+
+@query
+def phase0_rank(spark, sf_dir):
+    return rounded(retrieval.hash_rank(benchmark_queries(spark, sf_dir), corpus(spark, sf_dir), 10, 50))
+
+
+@query
+def result_enrichment(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    found = retrieval.bm25(docs, terms, benchmark_queries(spark, sf_dir), 3)
+    hits = retrieval.enrich(found, corpus(spark, sf_dir))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "path", "language", text.snippet(F.col("content")).alias("snippet"))
+
+
+# -- evaluation
+
+
+def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 3 where a document's text holds a passage, 1 where it holds but the first 30 characters.
+
+    Passages are matched on their first six words, then whole: an equi-join, not all pairs.
+    """
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage"))
+    items = items.withColumn("head", F.array_join(F.slice(F.split("passage", " "), 1, 4), " "))
+    docs = corpus(spark, sf_dir).select("document_id", F.col("content"), F.posexplode(F.split("content", " ")).alias("at", "w"))
+    heads = items.withColumn("first", F.split("passage", " ")[0])
+    hit = docs.join(retrieval.broadcast_if_small(heads), F.col("w") == F.col("first")).where(F.array_join(F.slice(F.split("content", " "), F.col("at") + 1, 4), " ") == F.col("head"))
+    graded = hit.select("query_id", "document_id", F.when(F.contains("content", F.col("passage")), 3).otherwise(1).alias("grade"))
+    return graded.groupBy("query_id", "document_id").agg(F.max("grade").alias("grade"))
+
+
+def _metrics(spark, sf_dir):
+    docs, terms = indexed(spark, sf_dir)
+    graded = judgments(spark, sf_dir)
+    found = retrieval.bm25(docs, terms, benchmark_queries(spark, sf_dir), 50)
+    return evaluation.per_query(found, graded)
+
+
+@query
+def eval_judgments(spark, sf_dir):
+    return judgments(spark, sf_dir)
+
+
+@query
+def eval_per_query(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("query_id", *[F.round(c, 5).alias(c) for c in ("ndcg", "recall", "reciprocal_rank")])
+
+
+@query
+def eval_macro(spark, sf_dir):
+    return evaluation.macro(_metrics(spark, sf_dir)).select(*[F.round(c, 5).alias(c) for c in ("ndcg", "recall", "mrr")], "queries")
+
+
+@query
+def eval_by_group(spark, sf_dir):
+    metrics = _metrics(spark, sf_dir).withColumn("part", F.col("query_id").cast("long") % 4)
+    return evaluation.macro(metrics, "part").select("part", *[F.round(c, 5).alias(c) for c in ("ndcg", "recall", "mrr")], "queries")
+
+
+@query
+def eval_parity_delta(spark, sf_dir):
+    """The same queries over the text alone and over text, path and id."""
+    docs = corpus(spark, sf_dir)
+    graded, queries = judgments(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    plain = indexing.weighted_terms(docs, (1, 0, 0)).where("term_frequency > 0")
+    full = indexing.weighted_terms(docs)
+    scores = [evaluation.macro(evaluation.per_query(retrieval.bm25(indexing.with_token_count(docs.select("document_id"), t), t, queries, 50), graded)) for t in (full, plain)]
+    return evaluation.parity_delta(*scores).select(F.round("ndcg_delta", 5).alias("ndcg_delta"), "passes")
+
+
+@query
+def unknown_judgments(spark, sf_dir):
+    graded = table(spark, sf_dir, "labels").select((F.col("doc_id") * 3).cast("string").alias("document_id"))
+    return evaluation.unknown_judgments(graded, corpus(spark, sf_dir))
+
+
+@query
+def latency_nearest_rank(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    p50 = evaluation.nearest_rank(events, "value", 50, "event_type").withColumnRenamed("value", "p50")
+    return p50.join(evaluation.nearest_rank(events, "value", 95, "event_type").withColumnRenamed("value", "p95"), "event_type")
+
+
+# -- paths, languages, eligibility
+
+
+def _paths(spark, sf_dir):
+    """Paths of many forms from page URLs and documents."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", r"^[a-z]+://[^/]*(.*)$", 1).alias("raw"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("rs", "PY", "h", "json", "unknown", "tsx", "md", "yml", "go", "tf")]), (F.col("id") % 10 + 1).cast("int"))
+    form = F.when(F.col("id") % 5 == 0, F.concat(F.lit("."), "raw")).when(F.col("id") % 5 == 1, F.concat(F.lit("src\\"), "raw")).when(F.col("id") % 5 == 2, F.concat(F.lit("a/../b"), "raw")).when(F.col("id") % 5 == 3, F.concat(F.lit("src/.hidden"), "raw")).otherwise(F.concat(F.lit("./lib//"), "raw"))
+    return pages.select("id", F.concat(form, F.lit("."), ext).alias("path"))
+
+
+@query
+def normalize_path(spark, sf_dir):
+    return _paths(spark, sf_dir).select("id", "path", identity.normalize_path(F.col("path")).alias("normalized"))
+
+
+@query
+def hidden_paths(spark, sf_dir):
+    return _paths(spark, sf_dir).select("id", identity.has_hidden_component(F.col("path")).alias("hidden"))
+
+
+@query
+def language_of_path(spark, sf_dir):
+    p = F.col("path")
+    return _paths(spark, sf_dir).select("id", eligibility.product_language(p).alias("product"), eligibility.evaluation_language(p).alias("evaluation"), eligibility.tree_language(p).alias("tree"))
+
+
+def _files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ext = F.element_at(F.array(*[F.lit(x) for x in ("py", "json", "bin", "rs")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.concat(F.when(F.col("doc_id") % 9 == 0, F.lit(".git/")).otherwise(F.lit("src/")), F.col("doc_id").cast("string"), F.lit("."), ext)
+    body = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit(b"\0"), F.col("text").cast("binary"))).when(F.col("doc_id") % 13 == 0, F.concat(F.lit(b"\xff\xfe"), F.col("text").cast("binary"))).when(F.col("doc_id") % 17 == 0, F.lit(b" \n\t")).otherwise(F.col("text").cast("binary"))
+    return docs.select(name.alias("path"), body.alias("content")).withColumn("size", F.octet_length("content").cast("long") * 20)
+
+
+@query
+def skip_reasons(spark, sf_dir):
+    return eligibility.skip_counts(_files(spark, sf_dir).select(eligibility.skip_reason(F.col("path"), F.col("size"), F.col("content")).alias("skip_reason")))
+
+
+@query
+def evaluation_skip_reasons(spark, sf_dir):
+    return eligibility.skip_counts(_files(spark, sf_dir).select(eligibility.evaluation_skip_reason(F.col("path"), F.col("size"), F.col("content")).alias("skip_reason")))
+
+
+# -- identities
+
+
+@query
+def content_hash(spark, sf_dir):
+    return corpus(spark, sf_dir).select("document_id", identity.content_hash(F.col("content").cast("binary")).alias("content_hash"))
+
+
+@query
+def document_identity(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    own, size = identity.content_hash(F.col("content").cast("binary")), F.octet_length("content").cast("long")
+    return docs.select("document_id", identity.document_id(F.col("path"), own, F.sha2(F.lit("fingerprint").cast("binary"), 256), F.lit(3).cast("long"), F.lit(0).cast("long"), size).alias("identity"))
+
+
+@query
+def cache_key(spark, sf_dir):
+    return corpus(spark, sf_dir).select("document_id", identity.cache_key(F.col("document_id"), F.col("content")).alias("cache_key"))
+
+
+@query
+def sizer_bytes_words_lines(spark, sf_dir):
+    c = F.col("content")
+    return corpus(spark, sf_dir).select("document_id", text.byte_size(c).alias("bytes"), text.word_size(c).alias("words"), text.line_size(c).alias("lines"))
+
+
+# -- chunks
+
+
+@query
+def fixed_window_chunks(spark, sf_dir):
+    return chunking.chunk(corpus(spark, sf_dir), "fixed", window=600, overlap=60).select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "start_byte", "end_byte", "context_end_byte", F.sha2("text", 256).alias("text_hash"))
+
+
+@query
+def chunk_coverage(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return chunking.coverage(chunking.chunk(docs, "lexical", chunking.Config(max_size=80, max_bytes=900)), docs).select("document_id", "covered")
+
+
+@query
+def lexical_chunks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.lit("html").alias("language"), F.col("html").alias("content"))
+    return chunking.chunk(pages, "lexical", chunking.Config(max_size=120, max_bytes=2_000)).select("document_id", "ordinal", "start_byte", "end_byte", "measured_size")
+
+
+@query
+def line_chunks(spark, sf_dir):
+    """Lexical chunks of one line: their ends are those of the lines."""
+    return chunking.chunk(corpus(spark, sf_dir), "lexical", chunking.Config(max_size=1, max_bytes=None, sizer="lines")).select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "start_byte", "end_byte", "start_line")
+
+
+@query
+def tree_chunks(spark, sf_dir):
+    """Documents as the bodies of small Python functions, by syntax trees."""
+    docs = corpus(spark, sf_dir)
+    body = F.array_join(F.transform(F.slice(F.split("content", r"\s+"), 1, 40), lambda w: F.concat(F.lit("def f(x):\n    return '"), F.regexp_replace(w, r"[^a-zA-Z]", ""), F.lit("' + x\n"))), "\n")
+    return chunking.chunk(docs.select("document_id", F.lit("python").alias("language"), body.alias("content")), "tree", chunking.Config(max_size=20)).select("document_id", "ordinal", "start_byte", "end_byte", "strategy", "node_kinds")
+
+
+# -- increments
+
+
+def _snapshots(spark, sf_dir):
+    """Files before and now: some changed, removed, new, filtered."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("id"))
+    before = docs.where("n % 10 <> 1").select("path", "content_hash", F.array(F.concat("id", F.lit("#0")), F.concat("id", F.lit("#1"))).alias("document_ids"))
+    now = docs.where("n % 10 <> 2").select("path", F.when(F.col("n") % 10 == 3, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("n") % 10 == 4, "binary").when(F.col("n") % 20 == 1, "empty").alias("skip_reason"))
+    return now, before
+
+
+@query
+def incremental_delta(spark, sf_dir):
+    return incremental.plan_delta(*_snapshots(spark, sf_dir)).select("path", "status", F.size("stale_ids").cast("long").alias("stale"))
+
+
+@query
+def stale_ids(spark, sf_dir):
+    return incremental.stale_ids(incremental.plan_delta(*_snapshots(spark, sf_dir)))
+
+
+@query
+def upsert_result(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("document_id", "content")
+    old = docs.where(F.col("document_id").cast("long") % 10 != 1)
+    new = docs.where(F.col("document_id").cast("long") % 10 < 3).withColumn("content", F.concat(F.lit("new "), "content"))
+    return incremental.upsert(old, new).select("document_id", F.sha2("content", 256).alias("hash"))
+
+
+@query
+def delete_result(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("document_id", "language")
+    ids = table(spark, sf_dir, "labels").where("toxic = 1").select((F.col("doc_id") * 2).cast("string").alias("document_id"))
+    return incremental.delete(docs, ids)
+
+
+@query
+def duplicate_ids(spark, sf_dir):
+    return incremental.duplicate_ids(corpus(spark, sf_dir).select(F.sha2("content", 256).alias("document_id")))
+
+
+@query
+def ordered_fetch(spark, sf_dir):
+    return retrieval.ordered_fetch(corpus(spark, sf_dir).select("document_id", "language"), ["30", "7", "nowhere", "19", "0"])
+
+
+def _cache(spark, sf_dir):
+    held = corpus(spark, sf_dir).join(embedded(spark, sf_dir).select("document_id", "embedding"), "document_id")
+    return held.select(F.col("document_id"), identity.cache_key(F.col("document_id"), F.col("content")).alias("cache_key"), "embedding")
+
+
+@query
+def cache_hits(spark, sf_dir):
+    docs = corpus(spark, sf_dir).withColumn("content", F.when(F.col("document_id").cast("long") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    found = incremental.cache_hits(docs, _cache(spark, sf_dir), 64)
+    return found.select("document_id", F.col("embedding").isNotNull().alias("hit"))
+
+
+@query
+def cache_conflicts(spark, sf_dir):
+    cache = _cache(spark, sf_dir)
+    other = cache.withColumn("embedding", F.when(F.col("document_id").cast("long") % 5 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")))
+    return incremental.cache_conflicts(cache, other)
+
+
+@query
+def generation_retention(spark, sf_dir):
+    rows = [("a", "a-300-3", 300, 3, True), ("a", "a-200-2", 200, 2, False), ("a", "a-100-1", 100, 1, False), ("b", "b-1-1", 1, 1, False), ("c", "c-9-9", 9, 9, True), ("c", "c-8-1", 8, 1, False)]
+    return incremental.retention(spark.createDataFrame(rows, "alias string, name string, seconds long, nanos long, active boolean"), 3)
+
+
+@query
+def request_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("chars"))
+    packed = requests.pack(requests.batches(docs, "doc_id", 128), "batch", "doc_id", "chars", 16, 20_000)
+    return packed.select("doc_id", "batch", F.col("request").cast("long").alias("request"))
