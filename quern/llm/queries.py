@@ -30,16 +30,9 @@ def _maintained(spark: SparkSession, sf_dir: str, tokenizers: tuple[str, ...]) -
     Deletes and revisions are replayed, which must change nothing.
     """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.coalesce(F.sha2("text", 256), F.lit("null")).alias("h"))
-    text = F.col("text")
-    narrow = docs.withColumns({"words": rollup.words(text), "words_kept": rollup.words_without_digit(text)})
-    names = [("words", "words", "words_kept")]
-    if "byte_bpe_50k" in tokenizers:
-        narrow = narrow.withColumn("scrubbed", F.regexp_replace("text", rollup.WORD_WITH_DIGIT, ""))
-        narrow = rollup.bpe_counts(narrow, {"bpe": "text", "bpe_kept": "scrubbed"}, packing.byte_bpe_path())
-        names.append(("byte_bpe_50k", "bpe", "bpe_kept"))
-    else:
-        narrow = narrow.drop("text")
-    counts = materialize(narrow, "token-counts")
+    with_bpe = "byte_bpe_50k" in tokenizers
+    names = [("words", "words", "words_kept")] + [("byte_bpe_50k", "bpe", "bpe_kept")] * with_bpe
+    counts = materialize(rollup.count_tokens(docs, "text", packing.byte_bpe_path() if with_bpe else None), "token-counts")
     firsts = counts.groupBy("h").agg(F.min("doc_id").alias("first"))
     counts = materialize(salted_join(counts, firsts, ["h"], F.xxhash64("doc_id"), "inner"), "token-counts-first")
     each = F.explode(F.array(*[F.struct(F.lit(f"{n}-v1").alias("tokenizer"), F.col(a).alias("before"), F.col(b).alias("after")) for n, a, b in names])).alias("t")

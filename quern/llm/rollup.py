@@ -15,21 +15,23 @@ by the number of distinct keys, not by documents.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.common import byte_texts
 from quern.llm.packing import encoder
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-WORD = r"[^\x20\x09-\x0D]+"
-WORD_WITH_DIGIT = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
+_DIGIT = re.compile(rb"[0-9]")
+_WITH_DIGIT = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+")
 
 
 class TokenRollup:
@@ -116,26 +118,35 @@ def signed(events: DataFrame) -> DataFrame:
     return events.select(*keys, docs.cast("long").alias("n_docs"), tokens.alias("n_tokens")).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def words(text: Column) -> Column:
-    """Words between ASCII white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def scrubbed(data: bytes) -> bytes:
+    """The text without the words between ASCII white space that hold a digit."""
+    return _WITH_DIGIT.sub(b"", data)
 
 
-def words_without_digit(text: Column) -> Column:
-    return (words(text) - F.coalesce(F.regexp_count(text, F.lit(WORD_WITH_DIGIT)), F.lit(0))).cast("long")
+def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """``docs`` with its text column replaced by counts: words, words_kept and, with a tokenizer, bpe, bpe_kept.
 
+    ``kept`` counts what is left of the scrubbed text, which is the text itself if it
+    has no digit.  Null and empty texts count 0.
+    """
+    at = docs.columns.index(text_col)
+    names = ["words", "words_kept", *(["bpe", "bpe_kept"] if tokenizer else [])]
+    schema = T.StructType([f for f in docs.schema if f.name != text_col] + [T.StructField(n, T.LongType()) for n in names])
 
-def bpe_counts(docs: DataFrame, columns: dict[str, str], tokenizer: str) -> DataFrame:
-    """``docs`` with a count of byte-level BPE ids for each text column named; null counts 0."""
-    plain = docs.columns
-    at = {new: plain.index(text) for new, text in columns.items()}
+    def counted(data: bytes, encode) -> tuple[int, ...]:
+        one = (len(data.split()), *([len(encode(data.decode())) // 4] if encode else []))
+        rest = one
+        if _DIGIT.search(data):
+            left = scrubbed(data)
+            rest = (len(left.split()), *([len(encode(left.decode())) // 4] if encode else []))
+        return tuple(n for pair in zip(one, rest) for n in pair)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer) if tokenizer else None
+        none = (0,) * len(names)
         for batch in batches:
-            seen = {new: pa.array([len(encode(t)) // 4 if t else 0 for t in batch.column(i).to_pylist()], pa.int64()) for new, i in at.items()}
-            keep = [i for i, c in enumerate(plain) if c not in columns.values()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *seen.values()], [*(plain[i] for i in keep), *seen])
+            rows = [counted(t, encode) if t else none for t in byte_texts(batch.column(at))]
+            own = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names)))], schema.names)
 
-    schema = T.StructType([f for f in docs.schema if f.name not in columns.values()] + [T.StructField(c, T.LongType()) for c in columns])
     return docs.mapInArrow(run, schema)

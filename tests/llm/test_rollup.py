@@ -60,12 +60,17 @@ def test_a_taken_name_is_not_published_again(spark, tmp_path):
     assert rows(store) == {("s", "en", "v1"): (1, 4)}
 
 
-def test_word_counts(spark):
-    texts = [None, "", "a b2  c\td\x0be", "é 世界\xa0x 12", " lead"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select(rollup.words(F.col("text")).alias("n"), rollup.words_without_digit(F.col("text")).alias("m"))
-    got = [tuple(r) for r in df.collect()]
-    split = [[w for w in re.split("[\x20\x09-\x0d]+", t or "") if w] for t in texts]
-    assert got == [(len(w), sum(not re.search("[0-9]", x) for x in w)) for w in split]
+def test_counts(spark):
+    texts = [None, "", "a b2  c\td\x0be", "é 世界\xa0x 12", " lead", "2", "x1y z"]
+    df = spark.createDataFrame([(i, t, "w") for i, t in enumerate(texts)], "doc_id long, text string, other string")
+    got = rollup.count_tokens(df, tokenizer=packing.byte_bpe_path())
+    assert got.columns == ["doc_id", "other", "words", "words_kept", "bpe", "bpe_kept"]
+    encode = packing.encoder(packing.byte_bpe_path())
+    for r, t in zip(got.orderBy("doc_id").collect(), texts):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
+        left = re.sub("[^\x20\x09-\x0d0-9]*[0-9][^\x20\x09-\x0d]*", "", t or "")
+        assert (r.words, r.words_kept) == (len(w), sum(not re.search("[0-9]", x) for x in w))
+        assert (r.bpe, r.bpe_kept) == (len(encode(t or "")) // 4, len(encode(left)) // 4)
 
 
 def test_query_matches_brute_force(spark):
