@@ -51,23 +51,37 @@ def cache_key(doc_id: Column, text: Column, domain: str = CACHE_DOMAIN) -> Colum
     return F.sha2(F.concat(F.lit(domain.encode() + b"\0"), u64_little(F.octet_length(doc_id).cast("long")), doc_id.cast("binary"), u64_little(F.octet_length(text).cast("long")), text.cast("binary")), 256)
 
 
-def stable_score(query: Column, doc_id: Column) -> Column:
-    """FNV-1a (64 bits) over query, byte 255 and id; its top 23 bits as a float in [0, 1).
+def _fnv(data: Column, start: Column) -> Column:
+    """The FNV-1a state (64 bits as two halves) after the bytes of ``data``.
 
-    The product modulo 2**64 is taken over 16-bit limbs, so that no step overflows a
-    long: the prime is 2**40 + 435.
+    The product modulo 2**64 is taken over 32-bit halves, so that no step overflows
+    a long: the prime is 2**40 + 435.
     """
-    data = F.concat(query.cast("binary"), F.lit(b"\xff"), doc_id.cast("binary"))
     digits = F.hex(data)
-    numbers = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
-    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    n = F.octet_length(data)
+    numbers = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
     def step(h: Column, byte: Column) -> Column:
         lo = h["lo"].bitwiseXOR(byte)
-        # (hi, lo) * (2**40 + 435) modulo 2**64, each half below 2**32
         low = lo * 435
         high = h["hi"] * 435 + F.shiftright(low, 32) + F.shiftleft(lo.bitwiseAND(F.lit(0xFFFFFF)), 8)
         mask = F.lit(0xFFFFFFFF)
         return F.struct(high.bitwiseAND(mask).alias("hi"), low.bitwiseAND(mask).alias("lo"))
 
-    return F.aggregate(numbers, start, step, lambda h: (F.shiftright(h["hi"], 9) / F.lit(float(1 << 23))).cast("float"))
+    return F.aggregate(numbers, start, step)
+
+
+def query_state(query: Column) -> Column:
+    """The hash of a query and byte 255, from which ``state_score`` goes on."""
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+    return _fnv(F.concat(query.cast("binary"), F.lit(b"\xff")), start)
+
+
+def state_score(state: Column, doc_id: Column) -> Column:
+    """The top 23 bits of the hash that goes on over an id, as a float in [0, 1)."""
+    return (F.shiftright(_fnv(doc_id.cast("binary"), state)["hi"], 9) / F.lit(float(1 << 23))).cast("float")
+
+
+def stable_score(query: Column, doc_id: Column) -> Column:
+    """FNV-1a (64 bits) over query, byte 255 and id, as a float in [0, 1)."""
+    return state_score(query_state(query), doc_id)

@@ -160,7 +160,9 @@ def collapse(ranked: DataFrame, mapping: DataFrame) -> DataFrame:
 def hash_rank(queries: DataFrame, docs: DataFrame, top: int, limit: int) -> DataFrame:
     """A ranking without relevance, stable from run to run: a hash of query and id.  Ids count once."""
     ids = docs.select("document_id").distinct()
-    scored = ids.crossJoin(F.broadcast(queries.select("query_id", "text"))).select("query_id", "document_id", identity.stable_score(F.col("text"), F.col("document_id")).alias("score"))
+    # the hash runs over the query first, so that part is done once for each query
+    states = queries.select("query_id", identity.query_state(F.col("text")).alias("__state"))
+    scored = ids.crossJoin(F.broadcast(states)).select("query_id", "document_id", identity.state_score(F.col("__state"), F.col("document_id")).alias("score"))
     return top_k(scored, ["query_id"], "score", "document_id", min(top, limit)).select("query_id", "rank", "document_id", "score")
 
 

@@ -41,18 +41,18 @@ def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six words of each benchmark passage."""
-    words = F.slice(F.split("text", " "), 1, 6)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(words, " ").alias("text"))
+    """Each benchmark passage as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("document_id"), "embedding", "label")
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    """The vectors of the first items, as queries of that number."""
-    return embedded(spark, sf_dir).where(F.col("document_id").cast("long") < most).select(F.col("document_id").alias("query_id"), "embedding")
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector, as the vector of the benchmark passage of that turn."""
+    ids = F.col("document_id").cast("long")
+    return embedded(spark, sf_dir).where(ids % 50 == 0).select((ids / 50).cast("long").cast("string").alias("query_id"), "embedding")
 
 
 def rounded(ranked: DataFrame, *more: str) -> DataFrame:
@@ -111,8 +111,8 @@ def bm25_topk_multi(spark, sf_dir):
 @query
 def bm25_conversation_queries(spark, sf_dir):
     docs, terms = indexed(spark, sf_dir)
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND turn = 0")
-    queries = asked.select(F.col("conv_id").cast("string").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND turn = 0 AND conv_id % 50 = 0")
+    queries = asked.select(F.col("conv_id").cast("string").alias("query_id"), "text")
     return rounded(retrieval.bm25(docs, terms, queries, 10))
 
 
@@ -121,23 +121,18 @@ def bm25_conversation_queries(spark, sf_dir):
 
 @query
 def dense_topk(spark, sf_dir):
-    return rounded(retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir, 1), 50))
-
-
-@query
-def dense_topk_multi(spark, sf_dir):
-    return rounded(retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir, 20), 10))
+    return rounded(retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir), 50))
 
 
 @query
 def dense_int8_topk(spark, sf_dir):
-    return rounded(retrieval.dense(indexing.quantize(embedded(spark, sf_dir)), query_vectors(spark, sf_dir, 5), 20, quantized=True))
+    return rounded(retrieval.dense(indexing.quantize(embedded(spark, sf_dir)), query_vectors(spark, sf_dir), 20, quantized=True))
 
 
 @query
 def cosine_double(spark, sf_dir):
     e = embedded(spark, sf_dir)
-    q = F.broadcast(query_vectors(spark, sf_dir, 3).withColumnRenamed("embedding", "q"))
+    q = F.broadcast(query_vectors(spark, sf_dir).withColumnRenamed("embedding", "q"))
     return e.crossJoin(q).select("query_id", "document_id", F.round(vectors.cosine_double(F.col("q"), F.col("embedding")), 6).alias("cosine"))
 
 
@@ -188,7 +183,7 @@ def weighted_window_mean(spark, sf_dir):
 def _both(spark, sf_dir):
     docs, terms = indexed(spark, sf_dir)
     queries = benchmark_queries(spark, sf_dir)
-    return retrieval.bm25(docs, terms, queries, 50), retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir, 20), 50)
+    return retrieval.bm25(docs, terms, queries, 50), retrieval.dense(embedded(spark, sf_dir), query_vectors(spark, sf_dir), 50)
 
 
 def _fused(ranked):
@@ -197,7 +192,7 @@ def _fused(ranked):
 
 @query
 def rrf_hybrid(spark, sf_dir):
-    """Items 0 to 19 have a vector, the others lexical candidates alone."""
+    """The first passages have a vector, the others lexical candidates alone."""
     return _fused(retrieval.rrf(*_both(spark, sf_dir), 10))
 
 
@@ -412,7 +407,7 @@ def line_chunks(spark, sf_dir):
 def tree_chunks(spark, sf_dir):
     """Documents as the bodies of small Python functions, by syntax trees."""
     docs = corpus(spark, sf_dir)
-    body = F.array_join(F.transform(F.slice(F.split("content", r"\s+"), 1, 40), lambda w: F.concat(F.lit("def f(x):\n    return '"), F.regexp_replace(w, r"[^a-zA-Z]", ""), F.lit("' + x\n"))), "\n")
+    body = F.array_join(F.transform(F.split("content", r"\s+"), lambda w: F.concat(F.lit("def f(x):\n    return '"), F.regexp_replace(w, r"[^a-zA-Z]", ""), F.lit("' + x\n"))), "\n")
     return chunking.chunk(docs.select("document_id", F.lit("python").alias("language"), body.alias("content")), "tree", chunking.Config(max_size=20)).select("document_id", "ordinal", "start_byte", "end_byte", "strategy", "node_kinds")
 
 

@@ -20,7 +20,7 @@ def analyzed(name: str, source: str) -> str:
 FIELDS = "SELECT document_id AS key, content AS t, 1 AS w FROM docs UNION ALL SELECT document_id, path, 3 FROM docs UNION ALL SELECT document_id, document_id, 2 FROM docs"
 TERMS = f"{DOCS}, {analyzed('emit', FIELDS)}, terms AS (SELECT key AS document_id, term, CAST(sum(w) AS BIGINT) AS tf FROM emit GROUP BY ALL)"
 COUNTS = f"{TERMS}, counts AS (SELECT document_id, CAST(coalesce(sum(tf), 0) AS BIGINT) AS token_count FROM docs LEFT JOIN terms USING (document_id) GROUP BY document_id)"
-QUERIES = "queries AS (SELECT CAST(item_id AS VARCHAR) AS query_id, array_to_string(string_split(text, ' ')[:6], ' ') AS text FROM benchmark)"
+QUERIES = "queries AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark)"
 
 
 def bm25(queries: str = QUERIES, limit: int = 50, counts: str = COUNTS) -> str:
@@ -45,12 +45,12 @@ def total(floats: str) -> str:
     return f"list_reduce(list_prepend(CAST(0 AS FLOAT), {floats}), lambda s, x: CAST(s + x AS FLOAT))"
 
 
-def dense(most: int, limit: int, source: str = "embedding") -> str:
+def dense(limit: int, source: str = "embedding") -> str:
     """A CTE chain ending in ``near`` (query_id, rank, document_id, score)."""
     return f"""{EMB},
 pairs AS (
   SELECT query_id, document_id, CAST(CAST({total("list_transform(list_zip(q, d), lambda p: CAST(p[1] * p[2] AS FLOAT))")} AS DOUBLE) / CAST(CAST(sqrt({total("list_transform(q, lambda x: CAST(x * x AS FLOAT))")}) AS FLOAT) * CAST(sqrt({total("list_transform(d, lambda x: CAST(x * x AS FLOAT))")}) AS FLOAT) AS FLOAT) AS FLOAT) AS score
-  FROM (SELECT q.document_id AS query_id, d.document_id, q.embedding AS q, d.{source} AS d FROM (SELECT * FROM emb WHERE vec_id < {most}) q, {"emb" if source == "embedding" else "coded"} d)
+  FROM (SELECT CAST(q.vec_id // 50 AS VARCHAR) AS query_id, d.document_id, q.embedding AS q, d.{source} AS d FROM (SELECT * FROM emb WHERE vec_id % 50 = 0) q, {"emb" if source == "embedding" else "coded"} d)
 ),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM pairs) WHERE rank <= {limit})"""
 
@@ -73,7 +73,7 @@ out AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def rrf(lexical: bool = True, near: bool = True) -> str:
-    return f"WITH {bm25()}, {dense(20, 50)}, found_ AS (SELECT * FROM found WHERE {lexical}), near_ AS (SELECT * FROM near WHERE {near}), {RRF} {ROUNDED}, round(CAST(lexical AS DOUBLE), 5) AS lexical, round(CAST(dense AS DOUBLE), 5) AS dense FROM out"
+    return f"WITH {bm25()}, {dense(50)}, found_ AS (SELECT * FROM found WHERE {lexical}), near_ AS (SELECT * FROM near WHERE {near}), {RRF} {ROUNDED}, round(CAST(lexical AS DOUBLE), 5) AS lexical, round(CAST(dense AS DOUBLE), 5) AS dense FROM out"
 
 
 JUDGED = """judged AS (
@@ -125,6 +125,12 @@ def le64(x: str) -> str:
 
 
 KEY = f"sha256('quern/embedding-cache/1'::BLOB || '\\x00'::BLOB || {le64('octet_length(encode(i))')} || encode(i) || {le64('octet_length(encode(t))')} || encode(t))"
+def boundary(p: str) -> str:
+    """The last character start at or before byte p of the text whose hexadecimal form is x."""
+    inside = "substr(x, 2 * ({0}) + 1, 1) IN ('8', '9', 'A', 'B')"
+    return f"CASE WHEN NOT {inside.format(p)} THEN {p} WHEN NOT {inside.format(p + ' - 1')} THEN {p} - 1 WHEN NOT {inside.format(p + ' - 2')} THEN {p} - 2 ELSE {p} - 3 END"
+
+
 PRODUCT = {"rs": "rust", "py": "python", "h": "c", "json": "json", "tsx": "tsx", "md": "markdown", "yml": "yaml", "go": "go", "tf": "hcl"}
 EVALUATED = {"rs": "rust", "h": "c", "json": "json", "tsx": "typescript", "md": "markdown", "yml": "yaml", "go": "go"}
 TREES = {"rs": "rust", "py": "python", "h": "ambiguous", "tsx": "tsx", "go": "go"}
@@ -143,11 +149,10 @@ SQL: dict[str, str] = {
     "bulk_terms_text": f"WITH {TERMS} SELECT document_id, string_agg(trim(repeat(term || ' ', tf)), ' ' ORDER BY encode(term)) AS terms FROM terms GROUP BY document_id",
     "bm25_topk_single": f"WITH {bm25("queries AS (SELECT 'q' AS query_id, 'The theaea onnd within' AS text)")} {ROUNDED} FROM found",
     "bm25_topk_multi": f"WITH {bm25()} {ROUNDED} FROM found",
-    "bm25_conversation_queries": "WITH " + bm25("queries AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, array_to_string(string_split(text, ' ')[:8], ' ') AS text FROM conversations WHERE role = 'user' AND turn = 0)", 10) + f" {ROUNDED} FROM found",
-    "dense_topk": f"WITH {dense(1, 50)} {ROUNDED} FROM near",
-    "dense_topk_multi": f"WITH {dense(20, 10)} {ROUNDED} FROM near",
-    "dense_int8_topk": f"WITH {EMB}, {CODED}, {dense(5, 20, 'back').removeprefix(EMB + ',')} {ROUNDED} FROM near",
-    "cosine_double": f"WITH {EMB} SELECT q.document_id AS query_id, d.document_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS cosine FROM (SELECT * FROM emb WHERE vec_id < 3) q, emb d",
+    "bm25_conversation_queries": "WITH " + bm25("queries AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, text FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 50 = 0)", 10) + f" {ROUNDED} FROM found",
+    "dense_topk": f"WITH {dense(50)} {ROUNDED} FROM near",
+    "dense_int8_topk": f"WITH {EMB}, {CODED}, {dense(20, 'back').removeprefix(EMB + ',')} {ROUNDED} FROM near",
+    "cosine_double": f"WITH {EMB} SELECT CAST(q.vec_id // 50 AS VARCHAR) AS query_id, d.document_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS cosine FROM (SELECT * FROM emb WHERE vec_id % 50 = 0) q, emb d",
     "int8_codec": f"WITH {EMB}, {CODED} SELECT document_id, round(CAST(scale AS DOUBLE), 9) AS scale, CAST(list_min(q) AS BIGINT) AS low, CAST(list_max(q) AS BIGINT) AS high, CAST(list_sum(q) AS BIGINT) AS total, list_max(list_transform(list_zip(back, embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) <= CAST(scale AS DOUBLE) * 0.51 AS close FROM coded",
     "mrl_project_32": f"WITH {EMB} SELECT document_id, list_transform(v, lambda x: round(CAST(CAST(x / s AS FLOAT) AS DOUBLE), 5)) AS v FROM (SELECT document_id, embedding[:32]::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding[:32]::DOUBLE[], lambda x: x * x))) AS s FROM emb)",
     "l2_normalize": f"WITH {EMB} SELECT document_id, list_transform(v, lambda x: round(CAST(CAST(x / s AS FLOAT) AS DOUBLE), 5)) AS v, round(sqrt(list_sum(list_transform(v, lambda x: (x / s) * (x / s)))), 5) AS norm FROM (SELECT document_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS s FROM emb)",
@@ -179,6 +184,10 @@ scored AS (SELECT query_id, document_id, CAST((h // 2199023255552) / 8388608.0::
     "document_identity": f"WITH {DOCS} SELECT document_id, sha256('quern/document/1'::BLOB || '\\x00'::BLOB || encode(path) || '\\x00'::BLOB || unhex(sha256(content)) || unhex(sha256('fingerprint')) || {u64('3')} || {u64('0')} || {u64('octet_length(encode(content))')}) AS identity FROM docs",
     "cache_key": f"SELECT i AS document_id, {KEY} AS cache_key FROM (SELECT CAST(doc_id AS VARCHAR) AS i, text AS t FROM documents)",
     "sizer_bytes_words_lines": "SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(strlen(text) AS BIGINT) AS bytes, CAST(len(regexp_extract_all(text, '[^\\s\\x0B\\x85\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')) AS BIGINT) AS words, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END AS BIGINT) AS lines FROM documents",
+    "fixed_window_chunks": f"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, hex(encode(text)) AS x, strlen(text) AS n FROM documents WHERE text <> ''),
+w AS (SELECT document_id, 0 AS ordinal, 0 AS s FROM d UNION ALL SELECT w.document_id, ordinal + 1, {boundary("s + 540")} FROM w JOIN d USING (document_id) WHERE s + 600 < n),
+e AS (SELECT document_id, ordinal, s, coalesce(lead(s) OVER (PARTITION BY document_id ORDER BY ordinal), n) AS e, {boundary("least(s + 600, n)")} AS c, x FROM w JOIN d USING (document_id))
+SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte, CAST(c AS BIGINT) AS context_end_byte, sha256(unhex(substr(x, 2 * s + 1, 2 * (c - s)))) AS text_hash FROM e""",
     "chunk_coverage": "SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS covered FROM documents",
     "line_chunks": """WITH tails AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all(text, '[^\\n]*\\n') AS whole, regexp_extract(text, '[^\\n]*$') AS tail FROM documents),
 a AS (SELECT *, regexp_extract(tail, '^.*\\s') AS x FROM tails),
