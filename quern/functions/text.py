@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 STOP_WORDS = tuple(sorted("which where with when what that from into why who was how for and are the to or on of it is in by be at as an a".split()))
 _SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
 _CAMEL = r"(?<=[\p{IsLowercase}\p{N}])(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
-#: Suffixes by turn: at most one is cut, the first whose rest has four bytes or more.
+#: Suffixes of which at most one is cut: the longest whose rest has four bytes or more.
 SUFFIXES = ("ization", "ation", "ated", "ingly", "edly", "ing", "ed", "ies", "es", "s")
+#: The least characters that make up four bytes in UTF-8.
+_FOUR = r"(?:[\x{10000}-\x{10FFFF}]|[\x{800}-\x{10FFFF}].|.[\x{800}-\x{10FFFF}]|[^\x00-\x7F]{2}|[^\x00-\x7F]..|.[^\x00-\x7F].|..[^\x00-\x7F]|.{4})"
+_STEM = f"^({_FOUR}.*?)(?:{'|'.join(SUFFIXES)})$"
+
+
+def stem_or_empty(term: Column) -> Column:
+    """The term without its suffix; empty if none can be cut.
+
+    One expression, not a chain of cases: generated code must stay small enough for
+    the JVM to compile it.
+    """
+    return F.when(F.right(term, F.lit(1)).isin("s", "d", "g", "y", "n"), F.regexp_extract(term, _STEM, 1)).otherwise("")
 
 
 def stem(term: Column) -> Column:
-    """The term without its first suffix that leaves four bytes or more; null if none does."""
-    out = F.lit(None).cast("string")
-    for suffix in reversed(SUFFIXES):
-        n = len(suffix)
-        out = F.when(term.endswith(suffix) & (F.octet_length(term) - n >= 4), F.left(term, F.char_length(term) - n)).otherwise(out)
-    return out
+    """The term without its suffix; null if none can be cut."""
+    return F.nullif(stem_or_empty(term), F.lit(""))
 
 
 def analyze(df: DataFrame, text: Column, *keep: Column | str) -> DataFrame:
@@ -30,17 +38,15 @@ def analyze(df: DataFrame, text: Column, *keep: Column | str) -> DataFrame:
     nothing.  ``explode_outer`` serves where the array is never empty, as it keeps
     the optimizer from evaluating the array a second time in a filter.
     """
-    names = [c if isinstance(c, str) else c for c in keep]
-    tokens = df.select(*names, F.explode_outer(F.split(text, _SPLIT)).alias("__token"))
+    tokens = df.select(*keep, F.explode_outer(F.split(text, _SPLIT)).alias("__token"))
     kept = [c for c in tokens.columns if c != "__token"]
-    tokens = tokens.where("__token <> ''").withColumn("__low", F.lower("__token"))
-    parts = F.split("__token", _CAMEL)
-    own = F.filter(F.transform(parts, F.lower), lambda p: p != F.col("__low"))
-    raw = F.when(F.size(parts) > 1, F.concat(F.array("__low"), own)).otherwise(F.array("__low"))
+    tokens = tokens.where("__token <> ''")
+    token, low = F.col("__token"), F.lower("__token")
+    own = F.filter(F.transform(F.split(token, _CAMEL), F.lower), lambda p: p != F.lower("__token"))
+    raw = F.when(token.rlike(_CAMEL), F.concat(F.array(low), own)).otherwise(F.array(low))
     words = tokens.select(*kept, F.explode_outer(raw).alias("__raw")).where(~F.col("__raw").isin(*STOP_WORDS))
-    short = stem(F.col("__raw"))
-    both = F.when(short.isNull(), F.array("__raw")).otherwise(F.array(F.col("__raw"), short))
-    return words.select(*kept, F.explode_outer(both).alias("term"))
+    both = F.array(F.col("__raw"), stem_or_empty(F.col("__raw")))
+    return words.select(*kept, F.explode_outer(both).alias("term")).where("term <> ''")
 
 
 def byte_size(text: Column) -> Column:

@@ -17,9 +17,11 @@ def weighted_terms(docs: DataFrame, weights: tuple[int, int, int] = WEIGHTS) ->
     Occurrences are summed where they arise, so what is shuffled is one row for
     each term of a document.
     """
-    fields = F.array(*[F.struct(F.col(c).alias("field"), F.lit(w).cast("long").alias("weight")) for c, w in zip(("content", "path", "document_id"), weights)])
-    each = docs.select("document_id", F.explode(fields).alias("f")).select("document_id", "f.field", "f.weight")
-    terms = text.analyze(each, F.col("field"), "document_id", "weight")
+    terms = None
+    for name, weight in zip(("content", "path", "document_id"), weights):
+        # each field by a branch of its own: the wide one is read once, without the others
+        one = text.analyze(docs, F.col(name), "document_id").withColumn("weight", F.lit(weight).cast("long"))
+        terms = one if terms is None else terms.unionByName(one)
     return terms.groupBy("document_id", "term").agg(F.sum("weight").alias("term_frequency"))
 
 

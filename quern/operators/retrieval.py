@@ -30,7 +30,8 @@ def bm25(docs: DataFrame, terms: DataFrame, queries: DataFrame, limit: int) -> D
     """
     wanted = query_terms(queries)
     mine = broadcast_if_small(wanted.select("term").distinct())
-    postings = terms.join(mine, "term", "left_semi")
+    # an inner join with distinct terms stays above the aggregate of ``terms``, whose shuffle all branches reuse
+    postings = terms.join(mine, "term")
     stats = term_stats(postings)
     k1, b = 1.2, 0.75
     rated = postings.join(docs.select("document_id", "token_count"), "document_id").join(stats, "term").crossJoin(F.broadcast(corpus_stats(docs)))
