@@ -7,10 +7,14 @@ Base kinds, leftmost and non-overlapping within a kind:
 * ``access``: ``AKIA`` and capitals or digits, 20 characters or more;
 * ``hex``: a run of ``[0-9a-f]``, 24 characters or more.
 
-Added kind ``random``: a maximal run of ``[A-Za-z0-9+/_=-]`` with 20 characters or more
-besides padding, among them a digit, that overlaps no base span and looks drawn at
-random from the alphabet of its encoding (hexadecimal, base 32, lower- or upper-case
-alphanumeric, base 62, base 64).  Three tests are made on its symbols' places in that
+Added kind ``random``: a part of a run of ``[A-Za-z0-9+/_=-]`` with 20 characters or
+more besides padding that overlaps no base span and looks drawn at random from the
+alphabet of its encoding (hexadecimal, base 32, lower- or upper-case alphanumeric,
+base 62, base 64).  A string without a digit is judged among the letters alone, over
+which a random one is uniform too; there a fourth test tells long words from it, by
+how often their letters occur in European languages.  Runs are parted at an inner ``=``; a part that no
+alphabet holds, as it has ``/`` or ``+`` besides ``-`` or ``_``, is parted both at ``/``
+and at ``-`` and ``_``, so spans of this kind may overlap there.  Three tests are made on its symbols' places in that
 alphabet: chi-squared uniformity with the variance that it has at the string's length,
 runs about the alphabet's middle, and serial correlation.  Their p-values are combined by
 Fisher's method into one that is uniform for random strings and near 0 for others.
@@ -30,7 +34,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -58,13 +64,32 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPLIT = bytes(b if b in _TOKEN else 32 for b in range(256))
 _RUN = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-_DIGIT = re.compile(rb"[0-9]")
+#: What lies between a run's ``=``, with the padding that ends the run.
+_PART = re.compile(rb"[A-Za-z0-9+/_-]+(?:=+\Z)?")
+_FINER = (re.compile(rb"[^/]+"), re.compile(rb"[^_-]+"))
 
 _D, _U, _L = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Encodings from the narrowest alphabet to the widest; a string has the first that holds it.
-ENCODINGS = (("hex", _D + b"abcdef"), ("HEX", _D + b"ABCDEF"), ("base32", _U + b"234567"), ("lower36", _D + _L), ("upper36", _D + _U), ("base62", _D + _U + _L), ("base64", _D + _U + _L + b"+/"), ("base64url", _D + _U + _L + b"-_"))
+ENCODINGS = (
+    *(("hex", _D + b"abcdef"), ("HEX", _D + b"ABCDEF"), ("lower26", _L), ("upper26", _U), ("base32", _U + b"234567"), ("lower36", _D + _L), ("upper36", _D + _U)),
+    *(("letters52", _U + _L), ("base62", _D + _U + _L), ("letters54", _U + _L + b"+/"), ("letters54url", _U + _L + b"-_"), ("base64", _D + _U + _L + b"+/"), ("base64url", _D + _U + _L + b"-_")),
+)
+#: How often a to z occur in a hundred letters of prose, about, over several European languages.
+_PROSE = (7.5, 1.5, 3.2, 4.2, 14.7, 1.6, 1.8, 3.5, 7.4, 0.4, 0.7, 4.3, 2.6, 8.1, 5.5, 2.1, 0.6, 6.8, 7.0, 6.8, 4.6, 1.6, 1.0, 0.3, 0.8, 0.8)
 _PLACES = [np.array([alphabet.find(bytes([b])) for b in range(256)]) for _, alphabet in ENCODINGS]
 
+
+
+def _wordlike(alphabet: bytes) -> np.ndarray | None:
+    """For letters without digits how much each place speaks for prose, with mean 0 and variance 1 over the alphabet."""
+    if any(b in _D for b in alphabet):
+        return None
+    w = np.array([math.log(_PROSE[(b | 32) - 97]) if chr(b).isalpha() else math.log(100 / 26) for b in alphabet])
+    return (w - w.mean()) / w.std()
+
+
+_WORDLIKE = [_wordlike(alphabet) for _, alphabet in ENCODINGS]
+
 Found = tuple[str, int, int, str | None, float | None]
 
 
@@ -72,8 +97,8 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(places: np.ndarray, size: int) -> float:
-    """Combined p-value of the three tests for symbols' places in an alphabet of ``size``."""
+def battery(places: np.ndarray, size: int, wordlike: np.ndarray | None = None) -> float:
+    """Combined p-value of the tests for symbols' places in an alphabet of ``size``; the fourth is made with ``wordlike``."""
     n = len(places)
     chi = float(((np.bincount(places, minlength=size) - n / size) ** 2).sum()) * size / n
     # with few symbols a cell chi-squared keeps its mean, but its variance shrinks: scale to both
@@ -95,23 +120,40 @@ def battery(places: np.ndarray, size: int) -> float:
     power = float((x * x).sum())
     serial = math.erfc(abs((float((x[1:] * x[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) / math.sqrt(2)) if power else 0.0
     half = -sum(math.log(max(p, 1e-300)) for p in (uniform, turns, serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    if wordlike is None:
+        return math.exp(-half) * (1 + half + half * half / 2)
+    half -= math.log(max(_upper(float(wordlike[places].sum()) / math.sqrt(n)), 1e-300))
+    return math.exp(-half) * (1 + half + half * half / 2 + half**3 / 6)
 
 
 def judge(token: bytes) -> tuple[str, float] | None:
     """Stratum and p-value of a token, or None if it isn't a candidate."""
     body = token.strip(b"=")
-    if len(body) < LEAST or not _DIGIT.search(body):
+    if len(body) < LEAST:
         return None
     raw = np.frombuffer(body, np.uint8)
-    for (name, alphabet), table in zip(ENCODINGS, _PLACES):
+    for (name, alphabet), table, wordlike in zip(ENCODINGS, _PLACES, _WORDLIKE):
         places = table[raw]
         if (places >= 0).all():
             length = max(x for x in LENGTHS if x <= len(body))
-            return f"{name}:{length}", battery(places, len(alphabet))
+            return f"{name}:{length}", battery(places, len(alphabet), wordlike)
     return None
 
 
+def _judged(run: bytes) -> Iterator[tuple[int, int, str, float]]:
+    """Start, end, stratum and p-value of each candidate in a run, by start."""
+    for m in _PART.finditer(run):
+        if m.end() - m.start() < LEAST:
+            continue
+        if seen := judge(m.group()):
+            yield (*m.span(), *seen)
+            continue
+        finer = {(m.start() + x.start(), m.start() + x.end()) for cut in _FINER for x in cut.finditer(m.group())}
+        for a, b in sorted(finer):
+            if b - a >= LEAST and (seen := judge(run[a:b])):
+                yield (a, b, *seen)
+
+
 def find(data: bytes | None) -> list[Found]:
     """Base spans and candidates of a text: kind, start, end, and stratum and p of candidates.
 
@@ -130,14 +172,12 @@ def find(data: bytes | None) -> list[Found]:
     if words and max(map(len, words)) >= LEAST:
         out += [("hex", *m.span(), None, None) for m in _HEX.finditer(data)]
         taken = sorted((a, b) for _, a, b, _, _ in out)
-        at = 0
-        reach = 0
+        starts = [a for a, _ in taken]
+        reach = [0, *accumulate((b for _, b in taken), max)]
         for m in _RUN.finditer(data):
-            while at < len(taken) and taken[at][0] < m.end():
-                reach = max(reach, taken[at][1])
-                at += 1
-            if reach <= m.start() and (seen := judge(m.group())):
-                out.append(("random", *m.span(), *seen))
+            for a, b, *seen in _judged(m.group()):
+                if reach[bisect_left(starts, m.start() + b)] <= m.start() + a:
+                    out.append(("random", m.start() + a, m.start() + b, *seen))
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return out if not out or data.isascii() else _in_characters(data, out)
 

@@ -56,6 +56,37 @@ def test_battery_is_uniform_for_random_strings_and_near_zero_for_others():
         assert secrets.judge(word)[1] < 0.01
 
 
+def test_parts_of_runs_are_judged():
+    token, other = "9aF3kQ7LmZ2xW8bTnR5vYc1D", "Kd83_mZq-0PxV7tRw2LbYs9cNf"
+    letters = "qWzXkPvTjRmLbNyHsGfD"
+    cases = [
+        (f"AWS_ACCESS_ID={token}", [token]),
+        (f"?sig={token}==", [token + "=="]),
+        (f"https://host.org/a+b/{other}/x", [other]),
+        (f"sk-live-x/{token}+{token}-old", [f"x/{token}+{token}"]),
+        (f"é {letters} é", [letters]),
+        (f"client={token}=password=abcdefgh", [token]),
+        ("=" * 30 + " " + "a+b-c/" * 10, []),
+    ]
+    for text, want in cases:
+        got = [text[a:b] for kind, a, b, *_ in secrets.find(text.encode()) if kind == "random"]
+        assert got == want, text
+    assert secrets.judge(letters.encode())[0] == "letters52:20"
+    rng = random.Random(1)
+    keys = [key(rng) for _ in range(40)]
+    ps = [[s[4] for s in secrets.find(f"NAME={k}".encode())] for k in keys]
+    assert ps == [[secrets.judge(k.encode())[1]] for k in keys]
+
+
+def test_letters_alone_are_uniform_and_words_are_not():
+    rng = random.Random(2)
+    for alphabet in (string.ascii_lowercase, string.ascii_letters):
+        ps = np.array([secrets.judge("".join(rng.choice(alphabet) for _ in range(24)).encode())[1] for _ in range(3000)])
+        assert abs((ps < 0.5).mean() - 0.5) < 0.1 and (ps < 0.05).mean() < 0.08
+    for word in (b"keitstlichschenverpf", b"donaudampfschifffahrtsgesellschaft", b"anticonstitutionnellement"):
+        assert secrets.judge(word)[1] < 0.05
+
+
 def test_threshold_controls_false_discoveries():
     flat = [10] * 200
     assert secrets.choose({"s": flat}) == {"s": 0.01}
