@@ -9,29 +9,35 @@ Base kinds, leftmost and non-overlapping within a kind:
 
 Added kind ``random``: a part of a run of ``[A-Za-z0-9+/_=-]`` with 20 characters or
 more besides padding that overlaps no base span and looks drawn at random from the
-alphabet of its encoding (hexadecimal, base 32, lower- or upper-case alphanumeric,
-base 62, base 64).  A string without a digit is judged among the letters alone, over
-which a random one is uniform too; there a fourth test tells long words from it, by
-how often their letters occur in European languages.  Runs are parted at an inner ``=``; a part that no
-alphabet holds, as it has ``/`` or ``+`` besides ``-`` or ``_``, is parted both at ``/``
-and at ``-`` and ``_``, so spans of this kind may overlap there.  Three tests are made on its symbols' places in that
-alphabet: chi-squared uniformity with the variance that it has at the string's length,
-runs about the alphabet's middle, and serial correlation.  Their p-values are combined by
-Fisher's method into one that is uniform for random strings and near 0 for others.
-
-What counts as a discovery is settled over the whole corpus, apart for each encoding
-and range of lengths, since short strings leave the tests little power.  Random
-strings spread evenly over p, so twice the number above one half estimates how many
-there are; what lies above a threshold beyond their share are false discoveries.  The
-lowest threshold on a grid that keeps these within ``FDR`` is taken, and none if no
-threshold does.
-
-Scale: one scan finds the spans; a table of them, without text, is kept in the shared
-folder, and only a histogram of p-values of fixed size comes to the driver.
+alphabet of its encoding (hexadecimal, base 32, lower- or upper-case alphanumeric, base
+62, base 64). A string without a digit is judged among the letters alone, over which a
+random one is uniform too; there a fourth test tells long words from it, by how often
+their letters occur in European languages. Runs are parted at an inner ``=``; a part
+that no alphabet holds, as it has ``/`` or ``+`` besides ``-`` or ``_``, is parted both
+at ``/`` and at ``-`` and ``_``, so spans of this kind may overlap there. Three tests
+are made on its symbols' places in that alphabet: chi-squared uniformity with the
+variance that it has at the string's length, runs about the alphabet's middle, and
+serial correlation. Their p-values are combined by Fisher's method into one that is
+uniform for random strings and near 0 for others.
+
+What counts as a discovery is settled over the whole corpus, apart for each encoding and
+range of lengths, since short strings leave the tests little power. Each distinct string
+counts once, however often it occurs. Random strings spread evenly over p, so twice the
+number above one half estimates how many there are; what lies above a threshold beyond
+their share are false discoveries. The lowest threshold on a grid that keeps these
+within ``FDR`` is taken, and none if no threshold does. Where fewer than ``SPARSE``
+distinct strings have a p-value of ``LOWEST`` or more, there is nothing to estimate
+from: each is tested by itself at ``LEVEL``, which loses that share of random strings
+and doesn't bound the false ones.
+
+Scale: one scan finds the spans; a table of them with a hash for each candidate, without
+text, is kept in the shared folder. Hashes are made distinct by a shuffle, and only a
+histogram of p-values of fixed size comes to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_left
@@ -55,6 +61,8 @@ BINS = 200
 #: Thresholds that may be chosen, and the first length of each range.
 LOWEST, HIGHEST = 0.01, 0.5
 LENGTHS = (20, 32, 48, 80)
+#: Distinct strings from ``LOWEST`` up that a stratum needs for an estimate, and the threshold of those with fewer.
+SPARSE, LEVEL = 50, 0.05
 
 _ASSIGN = re.compile(rb"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
@@ -90,7 +98,7 @@ def _wordlike(alphabet: bytes) -> np.ndarray | None:
 
 _WORDLIKE = [_wordlike(alphabet) for _, alphabet in ENCODINGS]
 
-Found = tuple[str, int, int, str | None, float | None]
+Found = tuple[str, int, int, str | None, float | None, int | None]
 
 
 def _upper(z: float) -> float:
@@ -140,22 +148,27 @@ def judge(token: bytes) -> tuple[str, float] | None:
     return None
 
 
-def _judged(run: bytes) -> Iterator[tuple[int, int, str, float]]:
-    """Start, end, stratum and p-value of each candidate in a run, by start."""
+def _hash(token: bytes) -> int:
+    """A signed 64-bit hash of a token without its padding."""
+    return int.from_bytes(hashlib.blake2b(token.strip(b"="), digest_size=8).digest(), "big", signed=True)
+
+
+def _judged(run: bytes) -> Iterator[tuple[int, int, str, float, int]]:
+    """Start, end, stratum, p-value and hash of each candidate in a run, by start."""
     for m in _PART.finditer(run):
         if m.end() - m.start() < LEAST:
             continue
         if seen := judge(m.group()):
-            yield (*m.span(), *seen)
+            yield (*m.span(), *seen, _hash(m.group()))
             continue
         finer = {(m.start() + x.start(), m.start() + x.end()) for cut in _FINER for x in cut.finditer(m.group())}
         for a, b in sorted(finer):
             if b - a >= LEAST and (seen := judge(run[a:b])):
-                yield (a, b, *seen)
+                yield (a, b, *seen, _hash(run[a:b]))
 
 
 def find(data: bytes | None) -> list[Found]:
-    """Base spans and candidates of a text: kind, start, end, and stratum and p of candidates.
+    """Base spans and candidates of a text: kind, start, end, and stratum, p and hash of candidates.
 
     Places are code points, ends exclusive; by start, then kind as listed.
     """
@@ -165,13 +178,13 @@ def find(data: bytes | None) -> list[Found]:
     if b"=" in data or b":" in data:
         low = data.translate(_LOWER)
         if any(cue in low for cue in _CUES):
-            out += [("assign", *m.span(), None, None) for m in _ASSIGN.finditer(data) if m.end(2) - m.start(2) >= 6]
+            out += [("assign", *m.span(), None, None, None) for m in _ASSIGN.finditer(data) if m.end(2) - m.start(2) >= 6]
     if b"AKIA" in data:
-        out += [("access", *m.span(), None, None) for m in _ACCESS.finditer(data)]
+        out += [("access", *m.span(), None, None, None) for m in _ACCESS.finditer(data)]
     words = data.translate(_SPLIT).split()
     if words and max(map(len, words)) >= LEAST:
-        out += [("hex", *m.span(), None, None) for m in _HEX.finditer(data)]
-        taken = sorted((a, b) for _, a, b, _, _ in out)
+        out += [("hex", *m.span(), None, None, None) for m in _HEX.finditer(data)]
+        taken = sorted((a, b) for _, a, b, *_ in out)
         starts = [a for a, _ in taken]
         reach = [0, *accumulate((b for _, b in taken), max)]
         for m in _RUN.finditer(data):
@@ -187,13 +200,13 @@ def _in_characters(data: bytes, spans: list[Found]) -> list[Found]:
     return [(kind, int(before[a]), int(before[b]), *rest) for kind, a, b, *rest in spans]
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.StringType()), T.StructField("p", T.DoubleType())]))
-_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("p", pa.float64())]))
-_KEYS = ("kind", "start", "end", "stratum", "p")
+_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("stratum", T.StringType()), T.StructField("p", T.DoubleType()), T.StructField("hash", T.LongType())]))
+_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("p", pa.float64()), ("hash", pa.int64())]))
+_KEYS = ("kind", "start", "end", "stratum", "p", "hash")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): base spans, and all candidates with stratum and p-value."""
+    """(doc_id, spans): base spans, and all candidates with stratum, p-value and hash."""
     src = documents(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +218,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def choose(histogram: dict[str, list[int]], fdr: float = FDR) -> dict[str, float]:
-    """Each stratum's threshold from its counts of p-values by bin; strata without one are left out."""
+    """Each stratum's threshold from its counts of distinct strings by bin of p; strata without one are left out."""
     out = {}
     for stratum, counts in histogram.items():
         above = np.cumsum(np.array(counts)[::-1])[::-1]
         bins = len(counts)
+        if above[int(LOWEST * bins)] < SPARSE:
+            out[stratum] = LEVEL
+            continue
         random = 2 * int(above[bins // 2])
         for i in range(int(LOWEST * bins), int(HIGHEST * bins) + 1):
             if random and max(0.0, above[i] - random * (1 - i / bins)) <= fdr * above[i]:
@@ -219,9 +235,10 @@ def choose(histogram: dict[str, list[int]], fdr: float = FDR) -> dict[str, float
 
 
 def thresholds(found: DataFrame, fdr: float = FDR) -> dict[str, float]:
-    """Thresholds by stratum over the whole of ``candidates``' result."""
+    """Thresholds by stratum over the whole of ``candidates``' result, each distinct string once."""
     each = found.select(F.explode(F.filter("spans", lambda s: s["p"].isNotNull())).alias("s"))
-    bins = each.groupBy(F.col("s.stratum").alias("stratum"), F.least(F.floor(F.col("s.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
+    each = each.select("s.stratum", "s.p", "s.hash").distinct()
+    bins = each.groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
     histogram: dict[str, list[int]] = {}
     for r in bins.collect():
         histogram.setdefault(r.stratum, [0] * BINS)[r.bin] += r["count"]
@@ -229,10 +246,10 @@ def thresholds(found: DataFrame, fdr: float = FDR) -> dict[str, float]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
-    """(doc_id, spans) for each row; spans are (kind, start, end, stratum, p), the last two null for base kinds.
+    """(doc_id, spans) for each row; spans are (kind, start, end, stratum, p, hash), the last three null for base kinds.
 
-    A null or empty text has none.  Repeated rows stay separate, and count each in
-    the false-discovery control.
+    A null or empty text has none.  Repeated rows stay separate; their strings count
+    once in the false-discovery control.
     """
     found = materialize(candidates(docs, id_col, text_col), "secret-candidates")
     limits = thresholds(found, fdr)

@@ -95,6 +95,33 @@ def test_threshold_controls_false_discoveries():
     assert secrets.choose({"s": [50] * 100 + [0] * 100}) == {}
 
 
+def test_sparse_strata_have_a_fixed_level():
+    low = [10_000, *[0] * 199]
+    alone = list(low)
+    alone[60] = 1
+    assert secrets.choose({"s": alone, "t": low}) == {"s": secrets.LEVEL, "t": secrets.LEVEL}
+    full = list(low)
+    full[60] = secrets.SPARSE
+    assert secrets.choose({"s": full}) == {}
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(3)
+    every = [key(rng) for _ in range(200)]
+    copied = next(k for k in every if 0.25 < secrets.judge(k.encode())[1] < 0.35)
+    rows = [(i, f"see {k} there") for i, k in enumerate(every)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = once.union(spark.createDataFrame([(1000 + i, f"see {copied}") for i in range(2000)], once.schema))
+    limits = secrets.thresholds(secrets.candidates(once))
+    assert limits == secrets.thresholds(secrets.candidates(often)) == {"base62:32": 0.01}
+    found = secrets.scan(often).where(F.size("spans") == 0).count()
+    assert found == 0
+    rare = "0123456789ABCDEF" + "".join(rng.choice("0123456789ABCDEF") for _ in range(40))
+    while not 0.1 < secrets.judge(rare.encode())[1] < 0.5:
+        rare = "".join(rng.choice("0123456789ABCDEF") for _ in range(56))
+    assert [len(r.spans) for r in secrets.scan(spark.createDataFrame([(1, f"id {rare}")], once.schema)).collect()] == [1]
+
+
 def key(rng, n=40, alphabet=string.ascii_letters + string.digits):
     while True:
         out = "".join(rng.choice(alphabet) for _ in range(n))
