@@ -3,20 +3,21 @@
 Text is lower-cased; what isn't a letter becomes a space and runs of spaces one.  A
 text starts after three pad symbols.  A language's model of order 4 interpolates
 absolutely discounted 4-gram counts with continuation counts of the lower orders
-and, at the bottom, a uniform distribution.  All that can be worked out beforehand
-is: for every 4-gram seen in any language the table holds each language's whole
-interpolated log probability, so most characters take one lookup; for the rest
-tables of the lower orders and of the contexts' back-off weights are used.  Tables
-are sorted arrays of 64-bit hashes with a directory over their leading bits.
+and, at the bottom, a uniform distribution.  For every n-gram the tables hold the
+whole interpolated log probability of each language that has it; for other languages
+the tables of the lower orders and of the contexts' back-off weights are used.  Each
+distinct 4-gram of a slice of text is looked up once.  Tables are sorted arrays of
+64-bit hashes with a directory over their leading bits.
 
 The language with the lowest cross-entropy per character wins.  A text is
 *rejected* if its cross-entropy lies above that language's median by more than
 ``SLACK`` nats and by more than the calibrated bound for its length.
 
 Scale: counts are taken over all labelled rows: each task folds its texts to distinct
-4-grams, the sums are added by key, and only 4-grams above a count threshold come to
-the driver, at most ``max_grams`` a language and ``max_cells`` log probabilities in
-all, which bounds the broadcast.  Scoring is one scan without a shuffle.
+4-grams, the sums are added by key, and come to the driver, a language at a time.  All
+4-grams are kept, so the model grows with the distinct 4-grams of the languages, by
+some 30 bytes each, and not with the text; the driver and each worker hold one.
+Scoring is one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ from pyspark.sql import types as T
 from quern.llm.common import discard, documents, field, materialize, slices
 
 ORDER = 4
-#: Bounds of the model: 4-grams kept for a language, log probabilities in all, languages.
-MAX_GRAMS, MAX_CELLS, MAX_LANGUAGES = 1 << 18, 1 << 23, 512
+MAX_LANGUAGES = 512
+#: Log probabilities that one step of scoring works on.
+CELLS = 1 << 23
 #: Labelled rows on which the rejection bound is calibrated, at most about so many.
 CALIBRATION_ROWS = 20_000
 #: Share of the calibration rows that the length-dependent bound leaves above it.
@@ -90,11 +92,15 @@ class HashArray:
     def __init__(self, keys: np.ndarray, rows: np.ndarray) -> None:
         hashes = _mix(keys)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.rows = hashes[order], rows[order].astype(np.float32)
-        bits = max(1, min(22, int(np.ceil(np.log2(len(keys) + 1))) + 1))
+        self.rows = rows[order].astype(np.float32)
+        self._index(hashes[order])
+
+    def _index(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        bits = max(1, min(22, int(np.ceil(np.log2(len(hashes) + 1))) + 1))
         self.shift = _LONG(64 - bits)
         edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
-        self.first = np.append(np.searchsorted(self.hashes, edges), len(keys)).astype(np.int64)
+        self.first = np.append(np.searchsorted(hashes, edges), len(hashes)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers; -1 where the key is absent."""
@@ -113,14 +119,39 @@ class HashArray:
         return out
 
 
+class SparseArray(HashArray):
+    """Numbers by 64-bit key and language, held only for the pairs that there are."""
+
+    def __init__(self, keys: np.ndarray, languages: np.ndarray, values: np.ndarray) -> None:
+        hashes = _mix(keys)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        self._index(hashes[starts])
+        self.starts = np.append(starts, len(hashes))
+        self.languages, self.values = languages[order].astype(np.uint16), values[order].astype(np.float32)
+
+    def fill(self, keys: np.ndarray, out: np.ndarray) -> None:
+        """Put the numbers held for ``keys`` into their rows of ``out``, a column for each language."""
+        at = self.find(keys)
+        rows = np.flatnonzero(at >= 0)
+        starts = self.starts[at[rows]]
+        sizes = self.starts[at[rows] + 1] - starts
+        entries = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out[np.repeat(rows, sizes), self.languages[entries]] = self.values[entries]
+
+
 class _Language:
     """Counts of one language by order, as sorted keys, for building the tables."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, vocabulary: int) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, vocabulary: int, most: int | None = None) -> None:
         self.vocabulary = vocabulary
+        frequent = counts >= np.sort(counts)[-most] if most and len(counts) > most else None
         self.levels = {}
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order].astype(np.float64)
+        if frequent is not None:
+            frequent = frequent[order]
         for n in range(ORDER, 0, -1):
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
@@ -132,6 +163,9 @@ class _Language:
                 # a lower order counts the distinct contexts that an n-gram continues
                 keys, tally = np.unique(keys & _LONG((1 << 16 * (n - 1)) - 1), return_counts=True)
                 counts = tally.astype(np.float64)
+        if frequent is not None:
+            own, share, contexts, weight = self.levels[ORDER]
+            self.levels[ORDER] = (own[frequent], share[frequent], contexts, weight)
 
     @staticmethod
     def _get(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
@@ -154,40 +188,43 @@ class Model:
     """Tables of all languages, and what rejection was calibrated to."""
 
     languages: list[str]
-    grams: dict[int, HashArray] = member(default_factory=dict)
-    weights: dict[int, HashArray] = member(default_factory=dict)
+    grams: dict[int, SparseArray] = member(default_factory=dict)
+    weights: dict[int, SparseArray] = member(default_factory=dict)
     floor: float = 0.0
     median: dict[str, float] = member(default_factory=dict)
     bound: dict[str, float] = member(default_factory=dict)
 
     @classmethod
-    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-        """From each language's 4-gram keys and counts."""
+    def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], max_grams: int | None = None) -> Model:
+        """From each language's 4-gram keys and counts.
+
+        With ``max_grams`` only the most frequent 4-grams of each language are
+        stored, those of equal count together; discounts, lower orders and back-off
+        weights are those of all.
+        """
         names = sorted(name for name, (keys, _) in counts.items() if len(keys))
         model = cls(names)
         if not names:
             return model
         vocabulary = len(np.unique(np.concatenate([counts[n][0] & _LONG(0xFFFF) for n in names]))) + 1
-        parts = [_Language(*counts[n], vocabulary) for n in names]
+        parts = [_Language(*counts[n], vocabulary, max_grams) for n in names]
         model.floor = float(-np.log(vocabulary))
         for n in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([p.levels[n][0] for p in parts]))
-            model.grams[n] = HashArray(keys, np.log(np.stack([p.probability(keys, n) for p in parts], axis=1)))
-            keys = np.unique(np.concatenate([p.levels[n][2] for p in parts]))
-            model.weights[n] = HashArray(keys, np.log(np.stack([p.weight(keys, n) for p in parts], axis=1)))
+            for table, keys, logs in (
+                (model.grams, [p.levels[n][0] for p in parts], [np.log(p.probability(p.levels[n][0], n)) for p in parts]),
+                (model.weights, [p.levels[n][2] for p in parts], [np.log(p.levels[n][3]) for p in parts]),
+            ):
+                table[n] = SparseArray(np.concatenate(keys), np.repeat(np.arange(len(parts)), [len(k) for k in keys]), np.concatenate(logs))
         return model
 
     def _logs(self, keys: np.ndarray, n: int) -> np.ndarray:
         if n == 0:
             return np.full((len(keys), len(self.languages)), self.floor, np.float32)
-        at = self.grams[n].find(keys)
-        out = self.grams[n].rows[at]
-        lost = np.flatnonzero(at < 0)
-        if len(lost):
-            missing = keys[lost]
-            context = self.weights[n].find(missing >> _LONG(16))
-            back = np.where(context[:, None] >= 0, self.weights[n].rows[context], np.float32(0))
-            out[lost] = back + self._logs(missing & _LONG((1 << 16 * (n - 1)) - 1), n - 1)
+        out = self._logs(keys & _LONG((1 << 16 * (n - 1)) - 1), n - 1)
+        back = np.zeros_like(out)
+        self.weights[n].fill(keys >> _LONG(16), back)
+        out += back
+        self.grams[n].fill(keys, out)
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +234,14 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)))
         some = np.flatnonzero(sizes)
         if len(some) and self.languages:
-            out[some] = -np.add.reduceat(self._logs(grams, ORDER), starts[some], axis=0, dtype=np.float64) / sizes[some, None]
+            begins, step = starts[some], max(1, CELLS // len(self.languages))
+            for a in range(0, len(grams), step):
+                b = min(len(grams), a + step)
+                keys, at = np.unique(grams[a:b], return_inverse=True)
+                first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b)
+                edges = np.maximum(begins[first:last] - a, 0)
+                out[some[first:last]] -= np.add.reduceat(self._logs(keys, ORDER)[at], edges, axis=0, dtype=np.float64)
+            out[some] /= sizes[some, None]
         return out, sizes, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, list[bool]]:
@@ -251,32 +295,23 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS, max_cells: int = MAX_CELLS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Fit and calibrate a model on all rows whose text and language aren't null.
 
-    4-grams are kept by count, those of equal count together, as many as the bounds
-    allow; with none labelled the model has no language and decides nothing.
+    All 4-grams are kept unless ``max_grams`` says how many of a language are, see
+    ``Model.fit``; with none labelled the model has no language and decides nothing.
     """
     rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counted = materialize(_counts(rows), "kn-counts")
-    bucket = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 102.4).cast("long"))
-    tally = counted.groupBy("lang", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("grams")).orderBy("lang", F.desc("bucket")).collect()
-    languages = sorted({r.lang for r in tally})
+    languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} can be told apart by one model")
-    most = min(max_grams, max_cells // max(1, len(languages)) ** 2)
-    least: dict[str, int] = {}
-    held: dict[str, int] = {}
-    for r in tally:
-        held[r.lang] = held.get(r.lang, 0) + r.grams
-        if held[r.lang] <= most or r.lang not in least:
-            least[r.lang] = r.bucket
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for lang in languages:
-        got = counted.where((F.col("lang") == lang) & (bucket >= least[lang])).select("gram", "n").toArrow()
+        got = counted.where(F.col("lang") == lang).select("gram", "n").toArrow()
         counts[lang] = (got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy())
     discard(counted)
-    model = Model.fit(counts)
+    model = Model.fit(counts, max_grams)
     if languages:
         _calibrate(model, rows, calibration_rows)
     return model

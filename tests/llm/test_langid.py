@@ -106,6 +106,34 @@ def test_model_size_is_bounded(spark):
     assert 0 < len(model.grams[4].hashes) <= 3 * 60
 
 
+def test_all_grams_are_kept_however_many_languages(spark):
+    # 120 languages, for which 582 4-grams each used to be left; most of these occur once
+    rng = random.Random(0)
+    texts = {f"l{i:03}": " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200)) for i in range(120)}
+    model = langid.train(spark.createDataFrame([(t, lang) for lang, t in texts.items()], "text string, lang string"))
+    every = np.unique(langid.symbols(list(texts.values()))[0])
+    assert len(model.grams[4].hashes) == len(every) and len(model.grams[4].values) == sum(len(np.unique(langid.symbols([t])[0])) for t in texts.values())
+    brute = Brute([texts["l007"]], 28)
+    assert model.entropies(["abc " + texts["l007"][:300]])[0][0][7] == pytest.approx(brute.h("abc " + texts["l007"][:300]), rel=1e-4)
+    assert model.predict([t[-80:] for t in texts.values()])[0] == list(texts)
+
+
+def test_discounts_are_those_of_all_counts():
+    counts = {lang: np.unique(langid.symbols(texts)[0], return_counts=True) for lang, texts in TRAIN.items()}
+    whole, cut = langid.Model.fit(counts), langid.Model.fit(counts, 5)
+    assert len(cut.grams[4].hashes) < len(whole.grams[4].hashes)
+    for n in (1, 2, 3):
+        assert (cut.grams[n].values == whole.grams[n].values).all() and (cut.weights[n + 1].values == whole.weights[n + 1].values).all()
+
+
+def test_scoring_in_steps_changes_nothing(monkeypatch):
+    model = fitted()
+    texts = ["the chat", "", "мир the 世", None, "é" * 500, "42", "la maison est là " * 20]
+    whole = model.entropies(texts)[0]
+    monkeypatch.setattr(langid, "CELLS", 3 * 7)
+    assert np.allclose(model.entropies(texts)[0], whole)
+
+
 def test_held_out_accuracy_and_rejection(spark):
     path = "/root/testdata/sf0.01"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
