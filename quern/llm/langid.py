@@ -11,13 +11,16 @@ distinct 4-gram of a slice of text is looked up once.  Tables are sorted arrays
 
 The language with the lowest cross-entropy per character wins.  A text is
 *rejected* if its cross-entropy lies above that language's median by more than
-``SLACK`` nats and by more than the calibrated bound for its length.
+``SLACK`` nats and by more than the calibrated bound for its length.  Both are taken
+over all labelled rows, by predicted language; a language that none of them is
+predicted as has those of all rows.
 
 Scale: counts are taken over all labelled rows: each task folds its texts to distinct
 4-grams, the sums are added by key, and come to the driver, a language at a time.  All
 4-grams are kept, so the model grows with the distinct 4-grams of the languages, by
 some 30 bytes each, and not with the text; the driver and each worker hold one.
-Scoring is one scan without a shuffle.
+Scoring is one scan without a shuffle; for calibration the scores, some 20 bytes a
+row, are kept in the shared folder and aggregated there.
 """
 
 from __future__ import annotations
@@ -38,9 +41,7 @@ ORDER = 4
 MAX_LANGUAGES = 512
 #: Log probabilities that one step of scoring works on.
 CELLS = 1 << 23
-#: Labelled rows on which the rejection bound is calibrated, at most about so many.
-CALIBRATION_ROWS = 20_000
-#: Share of the calibration rows that the length-dependent bound leaves above it.
+#: Share of the labelled rows that the length-dependent bound leaves above it.
 TAIL = 0.001
 #: Nats per character above the median that are never a reason to reject.
 SLACK = 0.75
@@ -295,7 +296,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int | None = None) -> Model:
     """Fit and calibrate a model on all rows whose text and language aren't null.
 
     All 4-grams are kept unless ``max_grams`` says how many of a language are, see
@@ -313,14 +314,12 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     discard(counted)
     model = Model.fit(counts, max_grams)
     if languages:
-        _calibrate(model, rows, calibration_rows)
+        _calibrate(model, rows)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame, at_most: int) -> None:
-    """Set each language's median cross-entropy and its bound on the excess times the root of the length."""
-    share = min(1.0, at_most / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Set each language's median cross-entropy and its bound on the excess times the root of the length, over all rows."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,13 +331,16 @@ def _calibrate(model: Model, rows: DataFrame, at_most: int) -> None:
                 kept = letters > 0
                 yield pa.RecordBatch.from_arrays([pa.array([sent.value.languages[i] for i in best[kept]], pa.string()), pa.array(h[np.arange(len(h)), best][kept]), pa.array(np.sqrt(sizes[kept]))], ["lang", "h", "root"])
 
-    scored = picked.select("text").mapInArrow(run, "lang string, h double, root double")
-    medians = {r.lang: r.m for r in scored.groupBy("lang").agg(F.percentile_approx("h", 0.5, 10_000).alias("m")).collect()}
-    if not medians:
-        return
-    middle = F.element_at(F.create_map(*[x for k, v in medians.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    bounds = scored.groupBy("lang").agg(F.percentile_approx((F.col("h") - middle) * F.col("root"), 1 - TAIL, 10_000).alias("b")).collect()
-    model.median, model.bound = medians, {r.lang: max(0.0, r.b) for r in bounds}
+    scored = materialize(rows.select("text").mapInArrow(run, "lang string, h double, root double"), "kn-scores")
+    # the row of null is that of all languages
+    medians = {r.lang: r.m for r in scored.rollup("lang").agg(F.percentile_approx("h", 0.5, 10_000).alias("m")).collect() if r.m is not None}
+    if medians:
+        middle = F.element_at(F.create_map(*[x for k, v in medians.items() if k is not None for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+        excess = scored.select("lang", ((F.col("h") - middle) * F.col("root")).alias("x"))
+        bounds = {r.lang: max(0.0, r.b) for r in excess.rollup("lang").agg(F.percentile_approx("x", 1 - TAIL, 10_000).alias("b")).collect()}
+        model.median = {name: medians.get(name, medians[None]) for name in model.languages}
+        model.bound = {name: bounds.get(name, bounds[None]) for name in model.languages}
+    discard(scored)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -134,6 +134,29 @@ def test_scoring_in_steps_changes_nothing(monkeypatch):
     assert np.allclose(model.entropies(texts)[0], whole)
 
 
+def test_calibration_takes_all_rows(spark):
+    # 30,000 rows of one language, which a sample used to thin, and ten of another
+    rng = random.Random(0)
+    common = [" ".join(rng.choice(["the", "cat", "hat", "mat", "and", "that"]) for _ in range(12)) for _ in range(30_000)]
+    rare = ["ça va là " * (1 + i) + "chien maison est"[i:] for i in range(10)]
+    rows = [(t, "aa") for t in common] + [(t, "bb") for t in rare]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    h, sizes, _ = model.entropies([t for t, _ in rows])
+    best, low = h.argmin(axis=1), h.min(axis=1)
+    for i, name in enumerate(model.languages):
+        own = np.sort(low[best == i])
+        assert len(own) >= 10
+        assert own[int(0.49 * len(own)) - 1] <= model.median[name] <= own[int(0.51 * len(own))]
+        excess = np.sort(((low - model.median[name]) * np.sqrt(sizes))[best == i])
+        assert excess[int(0.9985 * len(own)) - 1] <= model.bound[name] <= excess[min(len(own) - 1, int(0.9995 * len(own)))]
+
+
+def test_a_language_never_predicted_rejects_too(spark):
+    rows = [("the cat and the hat and the mat", "aa")] * 20 + [("the cat and the hat and the mat", "bb")] * 20
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model.median) == set(model.bound) == {"aa", "bb"}
+
+
 def test_held_out_accuracy_and_rejection(spark):
     path = "/root/testdata/sf0.01"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
