@@ -5,7 +5,9 @@ A tokenizer feeds a tree builder that supplies implied tags (``p``, ``li``, ``dd
 opened and closed elements drive a renderer that drops what isn't displayed, collapses
 white space outside ``pre``, sets blocks on lines of their own and paragraphs,
 headings, lists and tables apart by an empty line, marks list items and indents
-nested ones, and pads table cells to their column's width.
+nested ones, and pads table cells to their column's width.  Formulas (``math``) and
+diagrams (``svg``) are inline; their annotations, titles and definitions aren't shown,
+and a space parts the labels of a diagram and the cells of a formula.
 
 Everything is a loop over one page with explicit stacks, so depth is bounded by
 memory alone and time grows with the page's length.
@@ -34,7 +36,11 @@ DEEPEST = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist rp noembed noframes".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist rp noembed noframes".split())
+FOREIGN = frozenset(("svg", "math"))
+#: What isn't displayed inside these, besides what is hidden anyway, and what stands apart from its neighbours.
+HIDDEN_FOREIGN = frozenset("annotation annotation-xml desc metadata defs symbol marker pattern mask clippath".split())
+LABEL = frozenset("text mtd".split())
 #: Elements that stand apart by an empty line, and others that begin and end a line.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl menu figure xmp".split())
 BLOCK = APART | frozenset("html body div section article header footer nav main aside address fieldset form li dt dd tr caption details summary figcaption legend hgroup center dir option optgroup textarea search dialog hr".split())
@@ -60,7 +66,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """(kind, value, attributes) with kind ``text``, ``raw``, ``start`` or ``end``; comments and declarations are left out."""
-    at, n, loose = 0, len(html), False
+    at, n, loose, foreign = 0, len(html), False, 0
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -92,11 +98,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
                 return
         name, raw = m[2].lower(), html[m.end() : end - 1]
         at = end
+        if name in FOREIGN:
+            foreign = max(0, foreign - 1) if m[1] else foreign + (not raw.endswith("/"))
         if m[1]:
             yield "end", name, ""
             continue
         yield "start", name, raw
-        if name in RAW:
+        if name in RAW and not (foreign and raw.endswith("/")):
             close = RAW[name].search(html, end)
             stop = close.start() if close else n
             if name in ("textarea", "title", "xmp"):
@@ -182,12 +190,16 @@ class _Renderer:
         self.lists: list[list] = []
         self.pre = 0
         self.off = 0
+        self.foreign = 0
 
     def open(self, tag: str, raw: str) -> None:
         if self.off or self._hidden(tag, raw):
             self.off += 1
             return
         box = self.boxes[-1]
+        self.foreign += tag in FOREIGN
+        if self.foreign and tag in LABEL:
+            box.space = bool(box.line)
         if tag == "br":
             if box.line:
                 box.end()
@@ -232,7 +244,7 @@ class _Renderer:
             box.end()
 
     def _hidden(self, tag: str, raw: str) -> bool:
-        if tag in HIDDEN:
+        if tag in HIDDEN or self.foreign and tag in HIDDEN_FOREIGN:
             return True
         if tag == "dialog" or (tag == "input" and "hidden" in raw):
             return tag == "input" or "open" not in _attributes(raw)
@@ -246,6 +258,9 @@ class _Renderer:
             self.off -= 1
             return
         box = self.boxes[-1]
+        if self.foreign and tag in LABEL:
+            box.space = bool(box.line)
+        self.foreign -= tag in FOREIGN
         if tag in ("ul", "ol", "menu", "dir"):
             box.end()
             if self.lists:
@@ -374,7 +389,8 @@ class _Tree:
                 if tag in SECTION:
                     self.close(tuple(SECTION), table)
         self.push(tag, raw)
-        if tag in VOID:
+        foreign = tag in FOREIGN or any(self.count.get(t) for t in FOREIGN)
+        if tag in VOID or foreign and raw.endswith("/") and not self.count.get("foreignobject"):
             self.pop()
 
     def end(self, tag: str) -> None:

@@ -69,6 +69,20 @@ class Plain(HTMLParser):
             self.words.append(data)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+        ("<math><semantics><mi>y</mi><annotation encoding='t'>\\y</annotation></semantics></math>z", "yz"),
+        ("a<svg><title>T</title><desc>D</desc><defs><text>no</text></defs><style>p{}</style><path d='M0'/><text>in</text><text>out <tspan>put</tspan></text></svg>b", "a in out put b"),
+        ("<svg><title/><defs/><desc/><g><text>seen</text></g></svg> after <desc>too</desc>", "seen after too"),
+        ("<svg style='display:none'><text>no</text></svg><svg/>x", "x"),
+    ],
+)
+def test_formulas_and_diagrams_show_their_text(html, text):
+    assert htmltext.render(html) == text
+
+
 def test_query_keeps_every_visible_word(spark):
     path = "/root/testdata/sf0.01"
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{path}/pages.parquet").collect()}
