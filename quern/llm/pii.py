@@ -16,7 +16,8 @@ try if validation fails:
 Spans that the method adds:
 
 * ``userinfo``: the ``user:password`` of ``scheme://user:password@host``;
-* ``iban``: after the cue IBAN, country code, check digits and account, modulo 97;
+* ``iban``: after the cue IBAN, country code, check digits and account, of the country's
+  length or, if that isn't listed, of the longest that fits, modulo 97;
 * ``account``: after an account cue, 6 to 18 digits in groups;
 * ``ssn``: after a social-security cue, 3-2-4 digits, no all-zero group.
 
@@ -54,6 +55,9 @@ _SSN = re.compile(r"(?:SSN|ssn|[Ss]ocial [Ss]ecurity(?: [Nn]umber| [Nn]o\.?)?) ?
 _CUES = {"iban": ("IBAN", "iban", "Iban"), "account": ("Account", "account", "ACCOUNT", "Acct", "acct", "ACCT", "Konto", "konto", "Compte", "compte", "Cuenta", "cuenta"), "ssn": ("SSN", "ssn", "Social Security", "Social security", "social security")}
 _PARSERS = {"iban": _IBAN, "account": _ACCOUNT, "ssn": _SSN}
 
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {country: length for length, countries in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "AE BG BH CR DE GB GE IE ME RS", 23: "GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR QA UA", 30: "JO KW MU", 31: "MT"}.items() for country in countries.split()}
+
 Span = tuple[str, int, int]
 
 
@@ -80,6 +84,17 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _iban(said: str) -> int:
+    """Characters of ``said``, which may run on into words or numbers, that are an account number; 0 if none are."""
+    want = _IBAN_LENGTHS.get(said[:2])
+    for end in range(len(said), 14, -1):
+        if end == len(said) or said[end] == " ":
+            whole = said[:end].replace(" ", "")
+            if (len(whole) == want if want else len(whole) >= 15) and _mod97(whole):
+                return end
+    return 0
+
+
 def find(text: str | None) -> list[Span]:
     """All spans, base and added, by kind as listed and then by start; ends exclusive."""
     if not text:
@@ -118,9 +133,9 @@ def find(text: str | None) -> list[Span]:
             if m := _USERINFO.match(text, last + 1):
                 got["userinfo"].append(("userinfo", last + 1, m.end()))
         elif (at == 0 or not text[at - 1].isalnum()) and (m := _PARSERS[kind].match(text, at)) and m.start(1) >= done[kind]:
-            if kind != "iban" or _mod97(m.group(1).replace(" ", "")):
-                done[kind] = m.end(1)
-                got[kind].append((kind, m.start(1), m.end(1)))
+            if length := _iban(m.group(1)) if kind == "iban" else m.end(1) - m.start(1):
+                done[kind] = m.start(1) + length
+                got[kind].append((kind, m.start(1), m.start(1) + length))
     return [s for k in KINDS for s in got[k]]
 
 

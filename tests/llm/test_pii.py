@@ -65,6 +65,20 @@ def test_added_spans(text, kind, value):
     assert [text[a:b] for k, a, b in pii.find(text) if k == kind] == [value]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"),
+        ("IBAN: GB82 WEST 1234 5698 7654 32 12345678 AND MORE WORDS", "GB82 WEST 1234 5698 7654 32"),
+        ("iban NO93 8601 1117 947 OSLO", "NO93 8601 1117 947"),
+        ("IBAN LC55 HEMM 0001 0001 0012 0012 0002 3015 BIC X", "LC55 HEMM 0001 0001 0012 0012 0002 3015"),
+    ],
+)
+def test_iban_ends_before_what_follows(text, value):
+    assert [text[a:b] for k, a, b in pii.find(text) if k == "iban"] == [value]
+
+
 @pytest.mark.parametrize("text", ["https://host.org/a", "IBAN: DE88 3704 0044 0532 0130 00", "on account of 3 things", "SSN 000-45-6789", "accounts 12345", "lessn 123-45-6789", "MIT License, version 2.0, January 2004"])
 def test_clean_texts_have_no_spans(text):
     assert pii.find(text) == []
