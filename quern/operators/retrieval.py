@@ -46,15 +46,32 @@ def bm25(docs: DataFrame, terms: DataFrame, queries: DataFrame, limit: int) -> D
 def dense(docs: DataFrame, queries: DataFrame, limit: int, quantized: bool = False) -> DataFrame:
     """(query_id, rank, document_id, score) by exact cosine over all stored vectors.
 
-    ``queries`` (query_id, embedding) are broadcast, their number being checked; more
-    are taken in blocks by the caller.  With ``quantized`` the documents' emb_i8,
+    ``queries`` (query_id, embedding) are broadcast, in blocks of at most
+    ``QUERY_BLOCK`` by a hash of query_id, each against all vectors.  With ``quantized`` the documents' emb_i8,
     emb_scale and emb_offset are decoded, else ``embedding`` is read.  Documents
     without a vector are skipped, a wrong length is an error.  Each task keeps only
     its best rows before they are shuffled.
     """
     n = queries.limit(QUERY_BLOCK + 1).count()
-    if n > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} query vectors at once")
+    if n <= QUERY_BLOCK:
+        return _dense_block(docs, queries, limit, quantized)
+    if queries.groupBy("query_id").count().where(F.col("count") > QUERY_BLOCK).limit(1).count():
+        raise ValueError(f"more than {QUERY_BLOCK} vectors of one query")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    while queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).count().agg(F.max("count")).first()[0] > QUERY_BLOCK:
+        blocks += 1 + blocks // 4
+    context = docs.sparkSession.sparkContext
+    out = None
+    for i in range(blocks):
+        part = _dense_block(docs, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), limit, quantized)
+        if context._jsc.sc().getCheckpointDir().isDefined():
+            # one block's broadcast at a time
+            part = part.checkpoint()
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _dense_block(docs: DataFrame, queries: DataFrame, limit: int, quantized: bool) -> DataFrame:
     q = queries.select("query_id", F.col("embedding").cast("array<float>").alias("__q"))
     q = q.withColumn("__qq", vectors.squared_norm(F.col("__q")))
     if quantized:

@@ -194,3 +194,11 @@ def test_requests_and_retries():
         requests.Retry(sleep=waits.append).run(lambda: (_ for _ in ()).throw(IndexFailure("remote", "bad", "no", retry="never")))
     with pytest.raises(ValueError):
         requests.Retry(attempts=11)
+
+
+def test_dense_takes_more_queries_than_one_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "document_id string, embedding array<float>")
+    queries = spark.createDataFrame([(f"q{i}", [float(i % 3), 1.0, float(i)]) for i in range(23)], "query_id string, embedding array<float>")
+    whole = sorted(retrieval.dense(docs, queries, 4).collect())
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    assert sorted(retrieval.dense(docs, queries, 4).collect()) == whole and len(whole) == 23 * 4
