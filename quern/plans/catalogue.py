@@ -23,6 +23,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+#: Bytes of a text that the chunking queries take: all of them.
+WHOLE = 1 << 62
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -399,19 +403,19 @@ def fixed_window_chunks(spark, sf_dir):
 @query
 def chunk_coverage(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    return chunking.coverage(chunking.chunk(docs, "lexical", chunking.Config(max_size=80, max_bytes=900)), docs).select("document_id", "covered")
+    return chunking.coverage(chunking.chunk(docs, "lexical", chunking.Config(max_size=80, max_bytes=900, max_input=WHOLE)), docs).select("document_id", "covered")
 
 
 @query
 def lexical_chunks(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.lit("html").alias("language"), F.col("html").alias("content"))
-    return chunking.chunk(pages, "lexical", chunking.Config(max_size=120, max_bytes=2_000)).select("document_id", "ordinal", "start_byte", "end_byte", "measured_size")
+    return chunking.chunk(pages, "lexical", chunking.Config(max_size=120, max_bytes=2_000, max_input=WHOLE)).select("document_id", "ordinal", "start_byte", "end_byte", "measured_size")
 
 
 @query
 def line_chunks(spark, sf_dir):
     """Lexical chunks of one line: their ends are those of the lines."""
-    return chunking.chunk(corpus(spark, sf_dir), "lexical", chunking.Config(max_size=1, max_bytes=None, sizer="lines")).select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "start_byte", "end_byte", "start_line")
+    return chunking.chunk(corpus(spark, sf_dir), "lexical", chunking.Config(max_size=1, max_bytes=None, sizer="lines", max_input=WHOLE)).select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "start_byte", "end_byte", "start_line")
 
 
 @query
@@ -419,7 +423,7 @@ def tree_chunks(spark, sf_dir):
     """Documents as the bodies of small Python functions, by syntax trees."""
     docs = corpus(spark, sf_dir)
     body = F.array_join(F.transform(F.split("content", r"\s+"), lambda w: F.concat(F.lit("def f(x):\n    return '"), F.regexp_replace(w, r"[^a-zA-Z]", ""), F.lit("' + x\n"))), "\n")
-    return chunking.chunk(docs.select("document_id", F.lit("python").alias("language"), body.alias("content")), "tree", chunking.Config(max_size=20)).select("document_id", "ordinal", "start_byte", "end_byte", "strategy", "node_kinds")
+    return chunking.chunk(docs.select("document_id", F.lit("python").alias("language"), body.alias("content")), "tree", chunking.Config(max_size=20, max_input=WHOLE)).select("document_id", "ordinal", "start_byte", "end_byte", "strategy", "node_kinds")
 
 
 # -- increments

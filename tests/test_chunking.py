@@ -136,3 +136,12 @@ def test_deep_code():
     covers(text, split(text, "python", Config(max_size=50, sizer="bytes")), Config(max_size=50, sizer="bytes"))
     text = "{" * 2000 + "x;" + "}" * 2000
     covers(text, split(text, "c", Config(max_size=50, sizer="bytes")), Config(max_size=50, sizer="bytes"))
+
+
+def test_queries_take_texts_over_the_default_limit(spark, tmp_path):
+    from quern.plans import catalogue
+
+    rows = [(1, "word " * 1_100_000, "en", "s", 5_500_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.covered for r in catalogue.chunk_coverage(spark, str(tmp_path)).collect()] == [True]
+    assert catalogue.line_chunks(spark, str(tmp_path)).count() == 1
