@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash.
 
 A text is the sequence of its k-mers of ``K`` code points (a shorter text is one
-k-mer), each numbered by how often it occurred before.  For each of ``SKETCHES``
+k-mer), each numbered from 0 by how often it occurred before, so that a k-mer's first
+occurrence is the same element however often it recurs.  For each of ``SKETCHES``
 hash functions the ``L`` numbered k-mers of least hash are selected and put back in
 text order; the tuple of their k-mers is hashed to 16 bits.  The share of equal
 entries estimates the weighted order-sensitive likeness of two texts, which falls
@@ -73,7 +74,7 @@ def _symbol_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def numbered(h: np.ndarray) -> np.ndarray:
-    """32-bit hashes of (k-mer, how often it occurred before)."""
+    """32-bit hashes of (k-mer, how often it occurred before); those of first occurrences are the k-mers' own."""
     out = h
     ordered = np.sort(h)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
@@ -84,7 +85,8 @@ def numbered(h: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
         out = h.copy()
-        out[order] = _mix(values + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        later = nth > 0
+        out[order[later]] = _mix(values[later] + nth[later].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
