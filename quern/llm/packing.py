@@ -43,9 +43,11 @@ _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 def encoder(path: str):
     """A function from text to the little-endian unsigned 32-bit ids of a byte-level BPE file.
 
-    A ``tokenizers`` JSON file is read as it stands; its merge list is turned into
-    the ranks of the same vocabulary, which another library applies several times
-    faster with equal ids.  Strings of special tokens in a text are ordinary text.
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, so a
+    special token's string in a text becomes that token's id.  A ``tokenizers`` JSON
+    file is read as it stands; its merge list is turned into the ranks of the same
+    vocabulary, which another library applies several times faster with equal ids.
+    A file of another form is given to ``tokenizers`` itself.
     """
     import json
 
@@ -55,7 +57,9 @@ def encoder(path: str):
         spec = json.load(f)
     pre, model = spec["pre_tokenizer"], spec["model"]
     plain = spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and model["type"] == "BPE"
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    # added tokens must be cut out as they stand, before anything else
+    plain = plain and not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")) and all(t["special"] for t in spec["added_tokens"])
     if plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
         byte_of = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
@@ -63,13 +67,13 @@ def encoder(path: str):
         # ids must grow along the merge list, so that they can serve as ranks
         order = [ranks[bytes(byte_of[c] for c in a + b)] for a, b in merges]
         if order == sorted(order):
-            core = tiktoken.Encoding("bpe", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
-            return lambda text: memoryview(core.encode_to_tiktoken_buffer(text, set())).tobytes()
+            core = tiktoken.Encoding("bpe", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+            allowed = set(special)
+            return lambda text: memoryview(core.encode_to_tiktoken_buffer(text, allowed)).tobytes()
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -229,7 +233,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the whole sequences of ``pack`` with their ids joined in order."""
+    """(sequence_id, ids): the whole sequences of ``pack`` with their ids joined in order.
+
+    ``pieces`` must have been packed with ``keep_ids``; without it, ids are null.
+    No pieces give an empty table.  A sequence is bounded by the capacity.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return pieces.groupBy("sequence_id").agg(F.aggregate(ordered, F.lit(b""), lambda acc, p: F.concat(acc, p["ids"])).alias("ids"))
 
