@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, htmltext, langid, ordermh, packing, pii, rollup, secrets, sharding, simhash
-from quern.llm.common import materialize, salted_join, shared_dir
+from quern.llm.common import discard, materialize, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,38 +24,47 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermh.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
-def _maintained(spark: SparkSession, sf_dir: str, tokenizers: tuple[str, ...]) -> DataFrame:
+def _maintained(docs: DataFrame, tokenizers: tuple[str, ...]) -> DataFrame:
     """Totals after all documents came in, copies of a text went, and words with digits were scrubbed.
 
-    Deletes and revisions are replayed, which must change nothing.
+    Every row counts as a document; of the rows with one text (null is a text of its
+    own) the one of the least doc_id stays, those without one last, and of repeated
+    rows one.  Copies are folded before they are counted as events.  Deletes and
+    revisions are replayed, which must change nothing.
     """
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.coalesce(F.sha2("text", 256), F.lit("null")).alias("h"))
+    spark = docs.sparkSession
+    h = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
+    docs = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"), h.alias("h"))
     with_bpe = "byte_bpe_50k" in tokenizers
     names = [("words", "words", "words_kept")] + [("byte_bpe_50k", "bpe", "bpe_kept")] * with_bpe
-    counts = materialize(rollup.count_tokens(docs, "text", packing.byte_bpe_path() if with_bpe else None), "token-counts")
-    firsts = counts.groupBy("h").agg(F.min("doc_id").alias("first"))
-    counts = materialize(salted_join(counts, firsts, ["h"], F.xxhash64("doc_id"), "inner"), "token-counts-first")
+    counts = rollup.copies(rollup.count_tokens(docs, "text", packing.byte_bpe_path() if with_bpe else None), "h")
+    counts = materialize(counts.drop("h"), "token-counts")
     each = F.explode(F.array(*[F.struct(F.lit(f"{n}-v1").alias("tokenizer"), F.col(a).alias("before"), F.col(b).alias("after")) for n, a, b in names])).alias("t")
-    every = counts.select("doc_id", "first", "source", "lang", each).select("doc_id", "first", "source", "lang", "t.*")
-    copies, kept = every.where("doc_id <> first"), every.where("doc_id = first")
+    every = counts.select("n", "n_copies", "source", "lang", each).select("n", "n_copies", "source", "lang", "t.*")
     totals = rollup.TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+
+    def events(op: str, times: Column, tokens: str, *more: Column) -> DataFrame:
+        return every.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", F.col(tokens).alias("n_tokens"), times.alias("times"), *more)
+
+    n, n_copies = F.col("n"), F.col("n_copies")
     batches = {
-        "insert": every.select(F.lit("insert").alias("op"), "source", "lang", "tokenizer", F.col("before").alias("n_tokens")),
-        "copies": copies.select(F.lit("delete").alias("op"), "source", "lang", "tokenizer", F.col("before").alias("n_tokens")),
-        "scrub": kept.select(F.lit("revise").alias("op"), "source", "lang", "tokenizer", F.col("after").alias("n_tokens"), F.col("before").alias("old_tokens")),
+        "insert": events("insert", n, "before"),
+        "copies": events("delete", n_copies, "before"),
+        "scrub": events("revise", n - n_copies, "after", F.col("before").alias("old_tokens")),
     }
     for name in ("insert", "copies", "copies", "scrub", "insert", "scrub"):
-        totals.commit(name, batches[name])
+        totals.commit(name, batches[name], times="times")
+    discard(counts)
     return totals.totals()
 
 
 def op3_delta_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _maintained(spark, sf_dir, ("words", "byte_bpe_50k"))
+    return _maintained(_table(spark, sf_dir, "documents"), ("words", "byte_bpe_50k"))
 
 
 def word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3 with the one tokenizer that SQL can express."""
-    return _maintained(spark, sf_dir, ("words",))
+    return _maintained(_table(spark, sf_dir, "documents"), ("words",))
 
 
 def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +138,8 @@ ORACLE_SQL: dict[str, str] = {
     "word_rollups": r"""
 SELECT source, lang, 'words-v1' AS tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
 FROM (
-  SELECT source, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth,
-    len(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: NOT regexp_matches(w, '[0-9]'))) AS n
+  SELECT source, lang, row_number() OVER (PARTITION BY text ORDER BY doc_id, source, lang) AS nth,
+    len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: NOT regexp_matches(w, '[0-9]'))) AS n
   FROM documents
 )
 WHERE nth = 1

@@ -36,6 +36,8 @@ def test_batches_against_brute_force(spark, tmp_path):
             store.compact()
             assert not store.commit(f"b/{i} ü", df)
         assert rows(store) == {k: v for k, v in want.items() if v != (0, 0)}
+    # the second compaction removed what the first held
+    assert len(store._names("batches")) == 3 and len(store._names("snapshots")) == 2
     assert store.committed() == {f"b/{i} ü" for i in range(6)}
 
 
@@ -95,3 +97,33 @@ def test_query_matches_brute_force(spark):
 def test_query_agrees_with_sql(spark):
     path = "/root/testdata/sf0.01"
     assert_agrees(queries.QUERIES["word_rollups"](spark, path), queries.ORACLE_SQL["word_rollups"], path)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    hot = [(100 + i, "hot text 1", "web", "en") for i in range(300)]
+    rows = [(1, "a b", "web", "en"), (1, "a b", "web", "en"), (None, "c 2 d", "web", "en"), (None, "c 2 d", "web", "en"), (7, "a b", "web", "de")]
+    rows += [(3, None, None, "en"), (None, None, "web", None), (4, "", "web", None), (4, "", "a", None), (9, "a b", None, None), (5, "x", "web", "en")]
+    for some in (rows[:5], rows, rows + hot, []):
+        docs = spark.createDataFrame([(*r, "n", "h") for r in some], "doc_id long, text string, source string, lang string, n string, h string").repartition(3)
+        seen, want = set(), Counter()
+        for i, text, source, lang in sorted(some, key=lambda r: (r[0] is None, r[0] or 0, r[2] is None, r[2] or "", r[3] is None, r[3] or "")):
+            if text not in seen:
+                seen.add(text)
+                want[source, lang, "docs"] += 1
+                want[source, lang, "tokens"] += sum(not re.search("[0-9]", w) for w in (text or "").split())
+        got = Counter()
+        for r in queries._maintained(docs, ("words",)).collect():
+            assert r.tokenizer == "words-v1"
+            got[r.source, r.lang, "docs"], got[r.source, r.lang, "tokens"] = r.n_docs, r.n_tokens
+        assert got == want
+
+
+def test_a_batch_that_comes_while_compacting_counts_once(spark, tmp_path, monkeypatch):
+    store = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("insert", "s", "en", "v1", 4, 0)], EVENTS)
+    store.commit("first", one)
+    sums = store._sums
+    monkeypatch.setattr(store, "_sums", lambda names: (store.commit("second", one), sums(names))[1])
+    store.compact()
+    monkeypatch.undo()
+    assert rows(store) == {("s", "en", "v1"): (2, 8)}
