@@ -160,7 +160,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by ``[KIND]``; where spans overlap, the first and longest counts."""
+    """``docs`` with each span replaced by ``[KIND]``; where spans overlap, the first and longest counts.
+
+    Null and empty texts stay as they are, other columns too; repeated rows stay
+    separate.  An empty table gives an empty table.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,10 @@ Base kinds, leftmost and non-overlapping within a kind:
 * ``hex``: a run of ``[0-9a-f]``, 24 characters or more.
 
 Added kind ``random``: a part of a run of ``[A-Za-z0-9+/_=-]`` with 20 characters or
-more besides padding that overlaps no base span and looks drawn at random from the
-alphabet of its encoding (hexadecimal, base 32, lower- or upper-case alphanumeric, base
-62, base 64). A string without a digit is judged among the letters alone, over which a
+more besides padding that looks drawn at random from the alphabet of its encoding
+(hexadecimal, base 32, lower- or upper-case alphanumeric, base 62, base 64), be it the
+value of an assignment, a base span or neither; spans of this kind may overlap those of
+the base kinds, which stand as they are. A string without a digit is judged among the letters alone, over which a
 random one is uniform too; there a fourth test tells long words from it, by how often
 their letters occur in European languages. Runs are parted at an inner ``=``; a part
 that no alphabet holds, as it has ``/`` or ``+`` besides ``-`` or ``_``, is parted both
@@ -40,9 +41,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -184,13 +183,8 @@ def find(data: bytes | None) -> list[Found]:
     words = data.translate(_SPLIT).split()
     if words and max(map(len, words)) >= LEAST:
         out += [("hex", *m.span(), None, None, None) for m in _HEX.finditer(data)]
-        taken = sorted((a, b) for _, a, b, *_ in out)
-        starts = [a for a, _ in taken]
-        reach = [0, *accumulate((b for _, b in taken), max)]
         for m in _RUN.finditer(data):
-            for a, b, *seen in _judged(m.group()):
-                if reach[bisect_left(starts, m.start() + b)] <= m.start() + a:
-                    out.append(("random", m.start() + a, m.start() + b, *seen))
+            out += [("random", m.start() + a, m.start() + b, *seen) for a, b, *seen in _judged(m.group())]
     out.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return out if not out or data.isascii() else _in_characters(data, out)
 
@@ -206,7 +200,11 @@ _KEYS = ("kind", "start", "end", "stratum", "p", "hash")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): base spans, and all candidates with stratum, p-value and hash."""
+    """(doc_id, spans): base spans, and all candidates with stratum, p-value and hash.
+
+    A null or empty text has none; repeated rows and null ids stay separate rows; an
+    empty table gives an empty table.
+    """
     src = documents(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +279,9 @@ def masked(text: str, spans: list[Found]) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, fdr: float = FDR) -> DataFrame:
     """``docs`` with every secret masked; ``length_col``, if given, becomes the text's code points.
 
-    Thresholds are taken over the whole input first; the second scan masks.
+    Thresholds are taken over the whole input first; the second scan masks.  A null
+    text and its length stay null, an empty one stays empty; repeated rows stay
+    separate.  An empty table gives an empty table.
     """
     limits = thresholds(candidates(docs.withColumn("__none", F.lit(0)), "__none", text_col), fdr)
     at = docs.columns.index(text_col)
