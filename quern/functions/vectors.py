@@ -6,6 +6,8 @@ a single-precision loop rounds, so values agree bit for bit with a sequential on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _f(x: Column) -> Column:
     return x.cast("float")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, and not again for each element of a lambda in it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: _f(x * y)), F.lit(0.0).cast("float"), lambda s, x: _f(s + x))
 
@@ -86,12 +93,16 @@ def l2_normalize(v: Column) -> Column:
     norm = norm_double(v)
     bad = F.raise_error(F.lit("a vector without length can't be normalized")).cast("double")
     safe = F.when((norm > EPSILON) & (norm < F.lit(float("inf"))), norm).otherwise(bad)
-    return F.transform(v, lambda x: _f(x / safe))
+    return bound(safe, lambda length: F.transform(v, lambda x: _f(x / length)))
 
 
 def layer_norm(v: Column, epsilon: float = 1e-5) -> Column:
     """Less its mean, over its population deviation."""
     n = F.size(v).cast("double")
     mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    var = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
-    return F.transform(v, lambda x: _f((x.cast("double") - mean) / F.sqrt(var + F.lit(epsilon))))
+
+    def centred(m: Column) -> Column:
+        var = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / n
+        return bound(F.sqrt(var + F.lit(epsilon)), lambda d: F.transform(v, lambda x: _f((x.cast("double") - m) / d)))
+
+    return bound(mean, centred)
