@@ -8,11 +8,13 @@ byte offsets into UTF-8, half open; lines count from 1, columns in bytes from 0.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,31 @@ def line_sizer(text: str) -> int:
 SIZERS: dict[str, Sizer] = {"bytes": byte_sizer, "words": word_sizer, "lines": line_sizer}
 
 
+class BpeSizer:
+    """Tokens of a ``tokenizers`` file, read where it is first used; special strings of a text count as tokens.
+
+    The file's path must hold on every worker.  Its hash is part of a chunker's profile.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        with open(path, "rb") as f:
+            self.profile = f"bpe:{hashlib.sha256(f.read()).hexdigest()}"
+        self._encoder = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_encoder": None}
+
+    def __call__(self, text: str) -> int:
+        if self._encoder is None:
+            try:
+                from tokenizers import Tokenizer
+            except ImportError as missing:
+                raise errors.SizerError("tokenizers isn't installed") from missing
+            self._encoder = Tokenizer.from_file(self.path)
+        return len(self._encoder.encode(text, add_special_tokens=False).ids)
+
+
 class Lines:
     """Line and byte column of byte offsets."""
 
@@ -88,7 +115,7 @@ class Config:
 
     max_size: int = MAX_WORDS
     max_bytes: int | None = MAX_CHUNK_BYTES
-    sizer: str = "words"
+    sizer: str | Sizer = "words"
     strict: bool = True
     policy: str = "generic_fallback"
     kinds: str = "top_level"
@@ -96,12 +123,17 @@ class Config:
     max_input: int = MAX_INPUT_BYTES
 
     def __post_init__(self) -> None:
-        if self.max_size < 1 or (self.max_bytes is not None and self.max_bytes < 1) or self.sizer not in SIZERS:
+        if self.max_size < 1 or (self.max_bytes is not None and self.max_bytes < 1) or not (callable(self.sizer) or self.sizer in SIZERS):
             raise errors.ChunkConfigError("sizes must be positive and the sizer known")
 
+    def measure(self) -> Sizer:
+        """The sizer: one of ``SIZERS`` by name, or the function itself."""
+        return self.sizer if callable(self.sizer) else SIZERS[self.sizer]
+
     def profile(self) -> str:
         """Everything that boundaries depend on, for an index manifest."""
-        return f"quern-chunk-1;sizer={self.sizer};max={self.max_size};bytes={self.max_bytes};strict={self.strict};policy={self.policy};kinds={self.kinds};adapters={ADAPTERS_ID};window={WINDOW_BYTES}/{OVERLAP_BYTES}"
+        name = self.sizer if isinstance(self.sizer, str) else getattr(self.sizer, "profile", None) or f"{self.sizer.__module__}.{self.sizer.__qualname__}"
+        return f"quern-chunk-1;sizer={name};max={self.max_size};bytes={self.max_bytes};strict={self.strict};policy={self.policy};kinds={self.kinds};adapters={ADAPTERS_ID};window={WINDOW_BYTES}/{OVERLAP_BYTES}"
 
 
 @dataclass
@@ -138,34 +170,52 @@ def preferred_end(text: str) -> int:
 
 
 def lexical_split(source: _Source, start: int, end: int, kinds: list[str], config: Config, degraded: bool) -> list[Piece]:
-    """Cut a range greedily into the largest prefixes that fit, at good places."""
-    out = []
-    while start < end:
-        hard = floor_boundary(source.data, min(end, start + config.max_bytes)) if config.max_bytes else end
-        text = source.data[start:hard].decode()
-        low, high = 0, len(text)
-        offsets = None if len(text) == hard - start else [0]
-        if offsets:
-            for c in text:
-                offsets.append(offsets[-1] + len(c.encode()))
-
-        def at(n: int, offsets=offsets, start=start) -> int:
-            return start + (offsets[n] if offsets else n)
-
-        # the longest prefix that fits, by bisection over characters
+    """Cut a range greedily into the largest prefixes that fit, at good places.
+
+    The range is decoded once; a prefix is sought from the last one's length up, so the
+    work grows with the range and not with its square.
+    """
+    text = source.data[start:end].decode()
+    # byte offset of each character, unless these are the same
+    offsets = None
+    if len(text) != end - start:
+        raw = np.frombuffer(source.data, np.uint8, end - start, start)
+        offsets = np.append(np.flatnonzero((raw & 0xC0) != 0x80), end - start)
+
+    def byte(n: int) -> int:
+        return n if offsets is None else int(offsets[n])
+
+    out, at, last = [], 0, 64
+    while at < len(text):
+        hard = len(text)
+        if config.max_bytes and byte(at) + config.max_bytes < end - start:
+            reach = byte(at) + config.max_bytes
+            hard = reach if offsets is None else int(np.searchsorted(offsets, reach, "right")) - 1
+
+        def fits(n: int, at=at) -> bool:
+            return source.sizer(text[at:n]) <= config.max_size
+
+        # sizes grow with prefixes: double the reach until it is too large, then bisect
+        low, high = at, hard
+        step = last
+        while low < high:
+            probe = min(hard, at + step)
+            if not fits(probe):
+                high = probe - 1
+                break
+            low = probe
+            step *= 2
         while low < high:
             middle = (low + high + 1) // 2
-            if source.size(start, at(middle)) <= config.max_size:
-                low = middle
-            else:
-                high = middle - 1
-        if low == 0:
+            low, high = (middle, high) if fits(middle) else (low, middle - 1)
+        if low == at:
             raise errors.UnsplittableUnit(f"one character exceeds the size {config.max_size}")
-        n = preferred_end(text[:low])
-        if n < low and source.size(start, at(n)) > config.max_size:
+        n = at + preferred_end(text[at:low])
+        if n < low and not fits(n):
             n = low
-        out.append(Piece(start, at(n), list(kinds), degraded))
-        start = at(n)
+        out.append(Piece(start + byte(at), start + byte(n), list(kinds), degraded))
+        last = max(1, n - at)
+        at = n
     return out
 
 
@@ -183,6 +233,8 @@ class Node:
 
 
 ADAPTERS_ID = "python-ast+brackets-1+keywords-1"
+#: Parts of a broken module that are tried together.
+RECOVERY_REACH = 16
 
 
 def python_tree(data: bytes) -> Node | None:
@@ -237,8 +289,48 @@ _SKIP = {
 _FAMILY = {"c": "c", "cpp": "c", "csharp": "c", "java": "c", "javascript": "js", "typescript": "js", "tsx": "js", "rust": "rust", "go": "go", "php": "php"}
 
 
-def bracket_tree(data: bytes, language: str) -> Node | None:
-    """Statements and blocks of a brace language; strings and comments hide their brackets."""
+def recovered_python(data: bytes) -> tuple[Node, int]:
+    """A module's parts from one line without indent to the next, each parsed by itself; and how many don't parse.
+
+    What doesn't parse becomes an ``ERROR`` node; a part that continues the last one, as
+    ``else`` or a closing bracket does, or that its decorator precedes, is taken with it
+    if both parse together.
+    """
+    starts = [m.start() for m in re.finditer(rb"^(?=[^\s#])", data, re.M)]
+    if not starts:
+        starts = [0]
+    starts[0] = 0
+    root, bad, at = Node("Module", 0, len(data)), 0, 0
+    ends = [*starts[1:], len(data)]
+    while at < len(starts):
+        found, upto = None, at
+        for last in range(at, min(len(starts), at + RECOVERY_REACH)):
+            if (found := python_tree(data[starts[at] : ends[last]])) is not None:
+                upto = last
+                # a compound statement may go on
+                if last + 1 == len(starts) or not re.match(rb"(?:else|elif|except|finally)\b", data[starts[last + 1] :]):
+                    break
+        if found is None:
+            bad += 1
+            root.children.append(Node("ERROR", starts[at], ends[at]))
+        else:
+            todo = list(found.children)
+            root.children += todo
+            while todo:
+                node = todo.pop()
+                node.start, node.end = node.start + starts[at], node.end + starts[at]
+                todo += node.children
+        at = upto + 1
+    return root, bad
+
+
+def bracket_tree(data: bytes, language: str, broken: list[int] | None = None) -> Node | None:
+    """Statements and blocks of a brace language; strings and comments hide their brackets.
+
+    Of brackets that don't match there is no tree, unless ``broken`` (errors, missing
+    ends) is given, where they are counted: then a stray end is passed over, and what is
+    open at the end closes there.
+    """
     root = Node("source", 0, len(data))
     stack, begins, parens = [root], [0], 0
 
@@ -265,7 +357,10 @@ def bracket_tree(data: bytes, language: str) -> Node | None:
             begins.append(m.end())
         elif mark == b"}":
             if len(stack) == 1:
-                return None
+                if broken is None:
+                    return None
+                broken[0] += 1
+                continue
             close(m.start(), "statement")
             block = stack.pop()
             begins.pop()
@@ -275,8 +370,15 @@ def bracket_tree(data: bytes, language: str) -> Node | None:
                 close(m.end(), "item")
         elif mark == b";" and not parens:
             close(m.end(), "statement")
-    if len(stack) > 1:
+    if len(stack) > 1 and broken is None:
         return None
+    while len(stack) > 1:
+        broken[1] += 1
+        close(len(data), "statement")
+        block = stack.pop()
+        begins.pop()
+        block.end = len(data)
+        stack[-1].children.append(block)
     close(len(data), "statement")
     return root
 
@@ -285,8 +387,8 @@ _OPENS = {"ruby": re.compile(rb"^[ \t]*(?:class|module|def|if|unless|while|until
 _ENDS = {"ruby": re.compile(rb"^[ \t]*end\b"), "bash": re.compile(rb"^[ \t]*(?:fi|done|esac|\})[ \t;]*")}
 
 
-def keyword_tree(data: bytes, language: str) -> Node | None:
-    """Blocks between opening and closing keywords, by lines."""
+def keyword_tree(data: bytes, language: str, broken: list[int] | None = None) -> Node | None:
+    """Blocks between opening and closing keywords, by lines; ``broken`` as in ``bracket_tree``."""
     root = Node("source", 0, len(data))
     stack = [root]
     for m in re.finditer(rb"[^\n]*(?:\n|\Z)", data):
@@ -295,7 +397,11 @@ def keyword_tree(data: bytes, language: str) -> Node | None:
             continue
         if _ENDS[language].match(line):
             if len(stack) == 1:
-                return None
+                if broken is None:
+                    return None
+                broken[0] += 1
+                stack[-1].children.append(Node("ERROR", m.start(), m.end()))
+                continue
             stack.pop().end = m.end()
         elif _OPENS[language].search(line.rstrip(b"\n")):
             node = Node("block", m.start(), m.end())
@@ -303,7 +409,12 @@ def keyword_tree(data: bytes, language: str) -> Node | None:
             stack.append(node)
         else:
             stack[-1].children.append(Node("line", m.start(), m.end()))
-    return root if len(stack) == 1 else None
+    if len(stack) > 1 and broken is None:
+        return None
+    while len(stack) > 1:
+        broken[1] += 1
+        stack.pop().end = len(data)
+    return root
 
 
 def tree_of(data: bytes, language: str) -> Node | None:
@@ -314,6 +425,16 @@ def tree_of(data: bytes, language: str) -> Node | None:
     return keyword_tree(data, language) if language in _OPENS else None
 
 
+def recovered_tree(data: bytes, language: str) -> tuple[Node | None, int, int]:
+    """A tree of what can be read of a text that doesn't parse, with its errors and missing ends; None without an adapter."""
+    if language == "python":
+        return (*recovered_python(data), 0)
+    broken = [0, 0]
+    if language in _FAMILY:
+        return (bracket_tree(data, language, broken), *broken)
+    return (keyword_tree(data, language, broken) if language in _OPENS else None, *broken)
+
+
 def _kinds(node: Node, mode: str) -> list[str]:
     if mode == "none":
         return []
@@ -405,14 +526,19 @@ def split(text: str, language: str, config: Config = Config()) -> Output:
     name = eligibility.canonical_language(language)
     if config.overlap and name in eligibility.GRAMMARS:
         raise errors.UnsupportedFeature("no overlap with syntax trees")
-    source, notes = _Source(data, SIZERS[config.sizer]), []
+    source, notes = _Source(data, config.measure()), []
     strategy = "generic"
     if not data:
         pieces = []
     else:
         tree = tree_of(data, name) if name in eligibility.GRAMMARS else None
-        if tree is None and name in eligibility.GRAMMARS and config.policy != "generic_fallback":
-            raise errors.ParseHasErrors(name) if config.policy == "require_ast" else errors.ParseFailed(name)
+        if tree is None and name in eligibility.GRAMMARS and config.policy == "require_ast":
+            raise errors.ParseHasErrors(name)
+        if tree is None and name in eligibility.GRAMMARS and config.policy == "recover":
+            tree, bad, missing = recovered_tree(data, name)
+            if tree is None:
+                raise errors.ParseFailed(name)
+            notes.append(f"recovered_parse:errors={bad},missing={missing}")
         if tree is None and name != "generic" and name not in eligibility.GRAMMARS and config.policy != "generic_fallback":
             raise errors.UnsupportedLanguage(language)
         if tree is None:

@@ -145,3 +145,52 @@ def test_queries_take_texts_over_the_default_limit(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert [r.covered for r in catalogue.chunk_coverage(spark, str(tmp_path)).collect()] == [True]
     assert catalogue.line_chunks(spark, str(tmp_path)).count() == 1
+
+
+BROKEN = [
+    ("python", "import os\n\n@dec\ndef f(x):\n    return x\n\ndef g(:\n    pass\n\nif a:\n    b\nelse:\n    c\n", 1, 0),
+    ("rust", "fn main() { a(); \n fn b() { c(); }\n", 0, 1),
+    ("go", "func a() { b() } }\nfunc c() {}\n", 1, 0),
+    ("ruby", "def a\n  b\nend\nend\n", 1, 0),
+    ("bash", "if x\n then y\n", 0, 1),
+    ("python", "\n\n(((\n", 1, 0),
+]
+
+
+@pytest.mark.parametrize("language,text,bad,missing", BROKEN)
+def test_broken_texts_are_recovered(language, text, bad, missing):
+    for size in (1, 4, 100):
+        out = chunking.split(text, language, chunking.Config(max_size=size, policy="recover"))
+        assert f"recovered_parse:errors={bad},missing={missing}" in out.notes
+        assert "".join(text[p.start : p.end] for p in out.pieces) == text
+    with pytest.raises(errors.ParseHasErrors):
+        chunking.split(text, language, chunking.Config(policy="require_ast"))
+
+
+def test_sizers_can_be_given():
+    text = "some words of a text. " * 50
+    out = chunking.split(text, "generic", chunking.Config(max_size=30, sizer=lambda t: len(t.encode()) // 2))
+    assert all(n <= 30 for n in out.sizes) and "".join(text[p.start : p.end] for p in out.pieces) == text
+
+
+def test_bpe_sizer(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    byte_level = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, merges=[]))
+    byte_level.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    byte_level.save(str(tmp_path / "t.json"))
+    sizer = chunking.BpeSizer(str(tmp_path / "t.json"))
+    config = chunking.Config(max_size=12, sizer=sizer)
+    assert sizer.profile in config.profile() and sizer("é a") == 4
+    docs = spark.createDataFrame([("d", "x", "é some text of words")], "document_id string, language string, content string")
+    rows = chunking.chunk(docs, "lexical", config).orderBy("ordinal").collect()
+    assert "".join(r.text for r in rows) == "é some text of words" and all(r.measured_size == len(r.text.encode()) <= 12 for r in rows)
+
+
+def test_long_texts_are_split_in_linear_time():
+    import time
+
+    text = "word é " * 400_000
+    start = time.time()
+    out = chunking.split(text, "generic", chunking.Config(max_bytes=None, max_input=1 << 40))
+    assert time.time() - start < 30 and sum(out.sizes) == 800_000
