@@ -49,8 +49,7 @@ def index_folder(spark: SparkSession, root: str, path: str) -> dict:
 
 
 def search(spark: SparkSession, path: str, query: str, top: int, candidates: int) -> list[dict]:
-    if not query.strip():
-        raise ValueError("the query is blank")
+    retrieval.check_request(query, top, candidates)
     index = Index(spark, path)
     ranked = index.search(spark.createDataFrame([("q", query)], "query_id string, text string"), top, candidates)
     hits = retrieval.enrich(ranked, index.documents()).orderBy("rank")

@@ -15,6 +15,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+def nonblank(column: Column | str) -> Column:
+    """Whether a text holds anything but white space of any script; false for null."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
 def require(df: DataFrame, condition: Column, message: Column | str) -> DataFrame:
     """``df``, failing as soon as a row is read for which ``condition`` isn't true."""
     text = F.lit(message) if isinstance(message, str) else message

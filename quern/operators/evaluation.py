@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.errors import CorpusError
+from quern.operators.common import nonblank
 
 #: Greatest difference in nDCG@10 that two backends may show.
 PARITY = 0.02
@@ -69,7 +70,7 @@ def validate_judgments(queries: DataFrame, judgments: DataFrame, docs: DataFrame
     """Fail for fewer than ``least`` queries, blank or repeated ones, ones without positive grade, and unknown ids."""
     if queries.count() < least:
         raise CorpusError(f"an evaluation needs {least} queries or more")
-    if not queries.where(F.trim(F.coalesce("text", F.lit(""))) == "").isEmpty():
+    if not queries.where(~nonblank("text")).isEmpty():
         raise CorpusError("a query is blank")
     if not queries.groupBy("text").count().where("count > 1").isEmpty():
         raise CorpusError("a query is repeated")
@@ -90,3 +91,9 @@ def parity_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     joined = a.select(F.col("ndcg").alias("__a")).crossJoin(b.select(F.col("ndcg").alias("__b")))
     delta = F.abs(F.col("__a") - F.col("__b"))
     return joined.select(delta.alias("ndcg_delta"), (F.coalesce(delta, F.lit(float("nan"))) <= PARITY + 2.220446049250313e-16).alias("passes"))
+
+
+def parity_by(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """(by, ndcg_delta) of two results of ``macro`` by group; null where one of them lacks the group."""
+    joined = a.select(by, F.col("ndcg").alias("__a")).join(b.select(by, F.col("ndcg").alias("__b")), by, "full_outer")
+    return joined.select(by, F.abs(F.col("__a") - F.col("__b")).alias("ndcg_delta"))

@@ -20,19 +20,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return text.analyze(queries, F.col("text"), "query_id").distinct()
 
 
-def bm25(docs: DataFrame, terms: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def bm25(docs: DataFrame, terms: DataFrame, queries: DataFrame, limit: int, stats: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, document_id, score) by BM25 with k1 = 1.2 and b = 0.75.
 
     ``docs`` has document_id and token_count.  A query counts as a set of terms.
     The sum is taken in double and rounded to float before the order is settled;
     ties go to the least document_id.  Postings are cut to the queries' terms before
-    anything is shuffled, by a broadcast if these are few.
+    anything is shuffled, by a broadcast if these are few.  ``stats`` (term,
+    document_frequency) are taken if they are stored, else counted from the postings.
     """
     wanted = query_terms(queries)
     mine = broadcast_if_small(wanted.select("term").distinct())
     # an inner join with distinct terms stays above the aggregate of ``terms``, whose shuffle all branches reuse
     postings = terms.join(mine, "term")
-    stats = term_stats(postings)
+    stats = term_stats(postings) if stats is None else broadcast_if_small(stats.join(mine, "term"))
     k1, b = 1.2, 0.75
     rated = postings.join(docs.select("document_id", "token_count"), "document_id").join(stats, "term").crossJoin(F.broadcast(corpus_stats(docs)))
     idf = F.log(1 + (F.col("n") - F.col("document_frequency") + F.lit(0.5)) / (F.col("document_frequency") + F.lit(0.5)))
@@ -113,17 +114,31 @@ def rrf(lexical: DataFrame, dense_: DataFrame, limit: int, k: int = RRF_K) -> Da
     return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "document_id", "score", "lexical", "dense")
 
 
-def search(docs: DataFrame, terms: DataFrame, queries: DataFrame, top: int = 10, candidates: int = 50, vectors_of: DataFrame | None = None, quantized: bool = False) -> DataFrame:
+def search(docs: DataFrame, terms: DataFrame, queries: DataFrame, top: int = 10, candidates: int = 50, vectors_of: DataFrame | None = None, quantized: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """Hybrid search: BM25 and, if query vectors are given, dense candidates, fused."""
     if not 0 < top <= candidates:
         raise ValueError("top must lie between 1 and the number of candidates")
-    lexical = bm25(docs, terms, queries, candidates)
+    lexical = bm25(docs, terms, queries, candidates, stats)
     if vectors_of is None:
         empty = lexical.limit(0)
         return rrf(lexical, empty, top)
     return rrf(lexical, dense(docs, vectors_of, candidates, quantized), top)
 
 
+#: Most results and candidates that a search service gives.
+MOST_TOP, MOST_CANDIDATES = 50, 1_000
+
+
+def check_request(query: str, top: int, candidates: int) -> None:
+    """A service's bounds: a query that isn't blank, 1 to 50 results out of 1 to 1000 candidates, no fewer than results."""
+    if not query.strip():
+        raise ValueError("the query is blank")
+    if not 1 <= top <= MOST_TOP:
+        raise ValueError(f"top must lie between 1 and {MOST_TOP}")
+    if not top <= candidates <= MOST_CANDIDATES:
+        raise ValueError(f"candidates must lie between top and {MOST_CANDIDATES}")
+
+
 def enrich(ranked: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates with their documents' columns; a missing document is an error."""
     held = docs.withColumn("__held", F.lit(True))
@@ -180,7 +195,7 @@ def hash_rank(queries: DataFrame, docs: DataFrame, top: int, limit: int) -> Data
     ids = docs.select("document_id").distinct()
     # the hash runs over the query first, so that part is done once for each query
     states = queries.select("query_id", identity.query_state(F.col("text")).alias("__state"))
-    scored = ids.crossJoin(F.broadcast(states)).select("query_id", "document_id", identity.state_score(F.col("__state"), F.col("document_id")).alias("score"))
+    scored = ids.crossJoin(broadcast_if_small(states, QUERY_BLOCK)).select("query_id", "document_id", identity.state_score(F.col("__state"), F.col("document_id")).alias("score"))
     return top_k(scored, ["query_id"], "score", "document_id", min(top, limit)).select("query_id", "rank", "document_id", "score")
 
 

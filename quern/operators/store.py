@@ -1,8 +1,15 @@
-"""An index on a shared file system: immutable generations and one pointer.
-
-A build or update writes a whole new generation aside and publishes it by renaming
-a small pointer file; readers resolve the pointer once, so a failed or lost writer
-leaves what was published as it was.
+"""An index on a shared file system: immutable segments, generations and one pointer.
+
+A segment holds the documents that one build or update brought, their terms, the ids of
+older documents that it replaced or deleted, and signed changes of the terms' document
+frequencies.  A generation is a list of segments, published by renaming a small pointer
+file; readers resolve the pointer once, so a failed or lost writer leaves what was
+published as it was.
+
+Scale: an update analyzes and writes what is new, and reads of the rest only ids and the
+terms' ids; a document is live if no later segment names it dead.  After
+``MOST_SEGMENTS`` updates the live rows are copied into one segment, without a new
+analysis.  Terms are clustered by term in ranges, which split a common one.
 """
 
 from __future__ import annotations
@@ -17,8 +24,15 @@ from quern.errors import CorpusError, SearchError
 from quern.functions import vectors
 from quern.manifest import Manifest
 from quern.operators import indexing, retrieval
-from quern.operators.common import require
-from quern.operators.incremental import delete, duplicate_ids, generations_to_remove
+from quern.operators.common import nonblank, require
+from quern.operators.incremental import cache_hits, duplicate_ids, generations_to_remove
+from quern.providers import Embedder, embed
+
+INT8 = "int8_per_vector_scale_offset"
+#: Segments beyond which an update merges them.
+MOST_SEGMENTS = 8
+#: Distinct query terms that are pushed down to the scan of the terms.
+PUSHED_TERMS = 256
 
 DOCUMENTS = "document_id string, path string, language string, content string, embedding array<float>"
 
@@ -73,19 +87,39 @@ class Index:
 
     # -- reading
 
-    def _table(self, name: str) -> DataFrame:
+    def segments(self) -> list[str]:
+        """The published generation's segments, oldest first."""
         if (active := self.active()) is None:
             raise SearchError("the index has no published generation")
-        return self.spark.read.parquet(f"{self.path}/{active}/{name}")
+        return json.loads(self._read(f"{active}/segments.json"))
+
+    def _live(self, name: str) -> DataFrame:
+        """All rows of a table whose document no later segment names dead."""
+        segments = self.segments()
+        rows, dead = None, None
+        for nth, segment in enumerate(segments):
+            one = self.spark.read.parquet(f"{self.path}/{segment}/{name}")
+            if len(segments) == 1:
+                return one
+            one = one.withColumn("__segment", F.lit(nth))
+            rows = one if rows is None else rows.unionByName(one)
+            if nth:
+                gone = self.spark.read.parquet(f"{self.path}/{segment}/dead").select("document_id", F.lit(nth).alias("__dead"))
+                dead = gone if dead is None else dead.unionByName(gone)
+        # a document may have died several times: the last counts
+        last = dead.groupBy(F.col("document_id").alias("__id")).agg(F.max("__dead").alias("__dead"))
+        return rows.join(last, (F.col("document_id") == F.col("__id")) & (F.col("__segment") < F.col("__dead")), "left_anti").drop("__segment")
 
     def documents(self) -> DataFrame:
-        return self._table("documents")
+        return self._live("documents")
 
     def terms(self) -> DataFrame:
-        return self._table("terms")
+        return self._live("terms")
 
     def term_stats(self) -> DataFrame:
-        return self._table("term_stats")
+        """(term, document_frequency): the sums of the segments' changes."""
+        changes = self.spark.read.parquet(*[f"{self.path}/{s}/term_stats" for s in self.segments()])
+        return changes.groupBy("term").agg(F.sum("document_frequency").alias("document_frequency")).where("document_frequency <> 0")
 
     def document_count(self) -> int:
         return self.documents().count()
@@ -95,17 +129,24 @@ class Index:
         return retrieval.ordered_fetch(self.documents(), ids)
 
     def search(self, queries: DataFrame, top: int = 10, candidates: int = 50, query_vectors: DataFrame | None = None) -> DataFrame:
-        return retrieval.search(self.documents(), self.terms(), queries, top, candidates, query_vectors, self.manifest.quantization != "none")
+        """Hybrid search with the stored statistics; a few query terms are pushed down to the scans."""
+        terms, stats = self.terms(), self.term_stats()
+        asked = [r.term for r in retrieval.query_terms(queries).select("term").distinct().take(PUSHED_TERMS + 1)]
+        if len(asked) <= PUSHED_TERMS:
+            terms, stats = terms.where(F.col("term").isin(asked)), stats.where(F.col("term").isin(asked))
+        # only the int8 form replaces the stored vectors; a binary one is a store's own affair
+        return retrieval.search(self.documents(), terms, queries, top, candidates, query_vectors, self.manifest.quantization == INT8, stats)
 
     # -- writing
 
-    def _publish(self, docs: DataFrame) -> str:
-        seconds, nanos = divmod(time.time_ns(), 1_000_000_000)
-        name = f"gen-{seconds}-{nanos:09d}"
-        where = f"{self.path}/{name}"
+    def _remove(self, name: str) -> None:
+        p, fs = self._hadoop(name)
+        fs.delete(p, True)
+
+    def _checked(self, docs: DataFrame, where: str) -> DataFrame:
+        """``docs`` written aside, validated."""
         docs = docs.select(*[F.col(c.split()[0]).cast(c.split(" ", 1)[1]) for c in DOCUMENTS.split(", ")])
-        blank = F.trim(F.coalesce("content", F.lit(""))) != ""
-        docs = require(docs, F.col("document_id").isNotNull() & blank, F.concat(F.lit("blank document "), F.coalesce("document_id", F.lit("null"))))
+        docs = require(docs, F.col("document_id").isNotNull() & nonblank("content"), F.concat(F.lit("blank document "), F.coalesce("document_id", F.lit("null"))))
         if self.manifest.model_id != "none":
             short = F.size("embedding") == self.manifest.mrl_dim
             docs = require(docs, F.col("embedding").isNull() | (short & vectors.is_finite(F.col("embedding"))), F.concat(F.lit("bad vector of "), F.col("document_id")))
@@ -113,16 +154,41 @@ class Index:
         staged = self.spark.read.parquet(f"{where}/staged")
         if twice := duplicate_ids(staged).take(1):
             raise CorpusError(f"duplicate document {twice[0][0]}")
-        indexing.weighted_terms(staged).repartition("term").sortWithinPartitions("term", "document_id").write.parquet(f"{where}/terms")
-        terms = self.spark.read.parquet(f"{where}/terms")
-        indexing.term_stats(terms).write.parquet(f"{where}/term_stats")
+        return staged
+
+    def _write_terms(self, terms: DataFrame, where: str) -> DataFrame:
+        """Terms in ranges of term and document, so that a common term has many files and a scan finds few."""
+        terms.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.parquet(f"{where}/terms")
+        return self.spark.read.parquet(f"{where}/terms")
+
+    def _segment(self, docs: DataFrame, dead: DataFrame | None) -> str:
+        """Write a segment of new documents; ``dead`` are ids, live or not, that it replaces or deletes."""
+        name = f"seg-{time.time_ns()}"
+        where = f"{self.path}/{name}"
+        staged = self._checked(docs, where)
+        terms = self._write_terms(indexing.weighted_terms(staged), where)
+        stats = indexing.term_stats(terms)
+        if dead is not None:
+            gone = dead.select("document_id").unionByName(staged.select("document_id")).distinct()
+            live = self.documents().select("document_id").join(gone, "document_id", "left_semi")
+            live.write.parquet(f"{where}/dead")
+            gone = self.spark.read.parquet(f"{where}/dead")
+            lost = indexing.term_stats(self.terms().join(gone, "document_id", "left_semi"))
+            stats = stats.unionByName(lost.withColumn("document_frequency", -F.col("document_frequency")))
+            stats = stats.groupBy("term").agg(F.sum("document_frequency").alias("document_frequency")).where("document_frequency <> 0")
+        stats.write.parquet(f"{where}/term_stats")
         out = indexing.with_token_count(staged, terms)
-        if self.manifest.quantization == "int8_per_vector_scale_offset":
+        if self.manifest.quantization == INT8:
             out = indexing.quantize(out)
         out.write.parquet(f"{where}/documents")
-        p, fs = self._hadoop(f"{name}/staged")
-        fs.delete(p, True)
+        self._remove(f"{name}/staged")
+        return name
+
+    def _publish(self, segments: list[str]) -> str:
+        seconds, nanos = divmod(time.time_ns(), 1_000_000_000)
+        name = f"gen-{seconds}-{nanos:09d}"
         self._write(f"{name}/manifest.json", self.manifest.to_json())
+        self._write(f"{name}/segments.json", json.dumps(segments))
         try:
             self._write("CURRENT", name)
         except Exception:
@@ -130,21 +196,36 @@ class Index:
             if self.active() != name:
                 raise
         for old in generations_to_remove(self.generations(), name, self.retention):
-            p, fs = self._hadoop(old)
-            fs.delete(p, True)
+            self._remove(old)
+        named = {s for g in self.generations() for s in json.loads(self._read(f"{g}/segments.json") or "[]")}
+        p, fs = self._hadoop("")
+        for found in (s.getPath().getName() for s in fs.listStatus(p)):
+            # a segment older than the published ones that no generation names is left from a build that failed
+            if found.startswith("seg-") and found not in named and found < min(segments):
+                self._remove(found)
         return name
 
     def replace(self, docs: DataFrame) -> str:
         """Publish a corpus anew; on an error what was published stays."""
         if docs.isEmpty():
             raise CorpusError("the corpus is empty")
-        return self._publish(docs)
+        return self._publish([self._segment(docs, None)])
 
     def update(self, new: DataFrame, stale: DataFrame) -> str:
         """Publish the active documents without ``stale`` and the ids of ``new``, and with ``new``."""
         names = [c.split()[0] for c in DOCUMENTS.split(", ")]
-        kept = delete(delete(self.documents().select(*names), stale), new)
-        return self._publish(kept.unionByName(new.select(*names)))
+        segments = [*self.segments(), self._segment(new.select(*names), stale)]
+        published = self._publish(segments)
+        return self.merge() if len(segments) > MOST_SEGMENTS else published
+
+    def merge(self) -> str:
+        """Publish the live rows as one segment; nothing is analyzed again."""
+        name = f"seg-{time.time_ns()}"
+        where = f"{self.path}/{name}"
+        self._write_terms(self.terms(), where)
+        self.term_stats().write.parquet(f"{where}/term_stats")
+        self.documents().write.parquet(f"{where}/documents")
+        return self._publish([name])
 
     def upsert(self, docs: DataFrame) -> str:
         return self.update(docs, docs.select("document_id").limit(0))
@@ -153,6 +234,23 @@ class Index:
         """Publish the active documents without ``ids``; unknown ones are ignored."""
         return self.update(self.spark.createDataFrame([], DOCUMENTS), ids)
 
+    # -- embeddings
+
+    def embedded(self, docs: DataFrame, embedder: Embedder) -> DataFrame:
+        """``docs`` with vectors: those that the index's cache holds, by id and content, and new ones, which it then holds too."""
+        empty = self.spark.createDataFrame([], "cache_key string, embedding array<float>")
+        p, fs = self._hadoop("cache")
+        cache = self.spark.read.parquet(f"{self.path}/cache") if fs.exists(p) else empty
+        looked = cache_hits(docs.drop("embedding"), cache, embedder.dimensions)
+        aside = f"cache-{time.time_ns()}"
+        missing = embed(looked.where("embedding IS NULL").drop("embedding"), embedder)
+        missing.select("cache_key", "embedding").dropDuplicates(["cache_key"]).write.parquet(f"{self.path}/{aside}")
+        new = self.spark.read.parquet(f"{self.path}/{aside}")
+        new.write.mode("append").parquet(f"{self.path}/cache")
+        self._remove(aside)
+        held = self.spark.read.parquet(f"{self.path}/cache").dropDuplicates(["cache_key"])
+        return cache_hits(docs.drop("embedding"), held, embedder.dimensions).drop("cache_key")
+
     # -- checkpoints of a source
 
     def checkpoint(self) -> dict | None:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import identity, text, vectors
-from quern.operators import chunking, eligibility, evaluation, incremental, indexing, requests, retrieval
+from quern.operators import chunking, eligibility, evaluation, incremental, indexing, requests, retrieval, shared
+from quern.operators.store import Index
 from quern.plans import oracle
+from quern.sources import corpora
+from quern.streaming import ingest
 
 FLAGSHIP = "rrf_hybrid"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,8 +55,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with token_count, and weighted terms, which are written once as many branches read them."""
     docs = corpus(spark, sf_dir)
-    terms = indexing.weighted_terms(docs)
+    terms = shared.materialize(indexing.weighted_terms(docs), "terms")
     return indexing.with_token_count(docs.select("document_id"), terms), terms
 
 
@@ -149,7 +153,7 @@ def dense_int8_topk(spark, sf_dir):
 @query
 def cosine_double(spark, sf_dir):
     e = embedded(spark, sf_dir)
-    q = F.broadcast(query_vectors(spark, sf_dir).withColumnRenamed("embedding", "q"))
+    q = retrieval.broadcast_if_small(query_vectors(spark, sf_dir).withColumnRenamed("embedding", "q"), retrieval.QUERY_BLOCK)
     return e.crossJoin(q).select("query_id", "document_id", F.round(vectors.cosine_double(F.col("q"), F.col("embedding")), 6).alias("cosine"))
 
 
@@ -162,20 +166,25 @@ def int8_codec(spark, sf_dir):
     return q.select("document_id", F.round(F.col("emb_scale").cast("double"), 9).alias("scale"), F.array_min("emb_i8").cast("long").alias("low"), F.array_max("emb_i8").cast("long").alias("high"), total.alias("total"), (worst <= F.col("emb_scale").cast("double") * 0.51).alias("close"))
 
 
+def _dimensions(vectors_: DataFrame, *more: str) -> DataFrame:
+    """A row for each dimension of column v."""
+    return vectors_.select("document_id", *more, F.posexplode("v").alias("at", "x")).select("document_id", *more, F.col("at").cast("long").alias("at"), F.col("x").cast("double").alias("x"))
+
+
 @query
 def mrl_project_32(spark, sf_dir):
-    return embedded(spark, sf_dir).select("document_id", F.transform(vectors.l2_normalize(vectors.project(F.col("embedding"), 32)), lambda x: F.round(x.cast("double"), 5)).alias("v"))
+    return _dimensions(embedded(spark, sf_dir).select("document_id", vectors.l2_normalize(vectors.project(F.col("embedding"), 32)).alias("v")))
 
 
 @query
 def l2_normalize(spark, sf_dir):
     v = vectors.l2_normalize(F.col("embedding"))
-    return embedded(spark, sf_dir).select("document_id", F.transform(v, lambda x: F.round(x.cast("double"), 5)).alias("v"), F.round(vectors.norm_double(v), 5).alias("norm"))
+    return _dimensions(embedded(spark, sf_dir).select("document_id", v.alias("v"), F.round(vectors.norm_double(v), 5).alias("norm")), "norm")
 
 
 @query
 def layer_norm(spark, sf_dir):
-    return embedded(spark, sf_dir).select("document_id", F.transform(vectors.layer_norm(F.col("embedding")), lambda x: F.round(x.cast("double"), 4)).alias("v"))
+    return _dimensions(embedded(spark, sf_dir).select("document_id", vectors.layer_norm(F.col("embedding")).alias("v")))
 
 
 def _spread(pooled: DataFrame, key: str) -> DataFrame:
@@ -257,16 +266,35 @@ def result_enrichment(spark, sf_dir):
 # -- evaluation
 
 
+def _run_hashes(words, n: int):
+    """Hashes of each ``n`` words that follow one another."""
+    names = [f"w{i}" for i in range(n)]
+    runs = F.arrays_zip(*[F.slice(words, i + 1, 1 << 30).alias(name) for i, name in enumerate(names)])
+    return F.transform(F.filter(runs, lambda r: r[names[-1]].isNotNull()), lambda r: F.xxhash64(F.concat_ws(" ", *[r[name] for name in names])))
+
+
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grade 3 where a document's text holds a passage, 1 where it holds but its first four words.
 
     The passages are a stated set of queries, taken against all documents.
     """
-    head = F.concat(F.lit(" "), F.array_join(F.slice(F.split("text", " "), 1, 4), " "), F.lit(" "))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage"), head.alias("head"))
-    docs = corpus(spark, sf_dir).select("document_id", F.concat(F.lit(" "), "content", F.lit(" ")).alias("spaced"))
-    hit = docs.join(retrieval.broadcast_if_small(items), F.contains("spaced", "head"))
-    return hit.select("query_id", "document_id", F.when(F.contains("spaced", "passage"), 3).otherwise(1).alias("grade"))
+    words = F.split("text", " ")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage"), F.slice(words, 1, 4).alias("head"))
+    items = items.withColumns({"n": F.size("head"), "hash": F.xxhash64(F.array_join("head", " "))})
+    docs = corpus(spark, sf_dir).select("document_id", "content")
+    near = None
+    for n in sorted(r.n for r in items.select("n").distinct().collect()):
+        # heads are of 4 words at most; hashes of as many words of a document meet theirs
+        one = docs.select("document_id", F.explode(F.array_distinct(_run_hashes(F.split("content", " "), n))).alias("hash"))
+        own = retrieval.broadcast_if_small(items.where(F.col("n") == n).select("query_id", "hash"))
+        one = one.join(own, "hash").select("document_id", "query_id")
+        near = one if near is None else near.unionByName(one)
+    if near is None:
+        return spark.createDataFrame([], "query_id string, document_id string, grade int")
+    # two heads may have one hash: the texts decide
+    pairs = near.join(retrieval.broadcast_if_small(items.select("query_id", "passage", F.concat(F.lit(" "), F.array_join("head", " "), F.lit(" ")).alias("spaced"))), "query_id")
+    hit = docs.join(retrieval.broadcast_if_small(pairs), "document_id").withColumn("content", F.concat(F.lit(" "), "content", F.lit(" ")))
+    return hit.where(F.contains("content", "spaced")).select("query_id", "document_id", F.when(F.contains("content", "passage"), 3).otherwise(1).alias("grade"))
 
 
 def _metrics(spark, sf_dir):
@@ -297,6 +325,32 @@ def eval_by_group(spark, sf_dir):
     return evaluation.macro(metrics, "part").select("part", *[F.round(c, 5).alias(c) for c in ("ndcg", "recall", "mrr")], "queries")
 
 
+def _in_repositories(spark, sf_dir):
+    """Judgments whose ids carry the repository of their query, as a multi-repository corpus has them."""
+    part = F.concat(F.lit("repo"), (F.col("query_id").cast("long") % 3).cast("string"))
+    return judgments(spark, sf_dir).withColumn("document_id", F.concat(part, F.lit(":"), "document_id"))
+
+
+@query
+def eval_by_repository(spark, sf_dir):
+    names = evaluation.repository_of(_in_repositories(spark, sf_dir))
+    return evaluation.macro(_metrics(spark, sf_dir).join(names, "query_id"), "repository").select("repository", *[F.round(c, 5).alias(c) for c in ("ndcg", "recall", "mrr")], "queries")
+
+
+@query
+def parity_by_repository(spark, sf_dir):
+    """Text alone against text, path and id, by repository; reported, not gated."""
+    docs = corpus(spark, sf_dir)
+    graded, queries = judgments(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    names = evaluation.repository_of(_in_repositories(spark, sf_dir))
+    means = []
+    for weights in (indexing.WEIGHTS, (1, 0, 0)):
+        t = shared.materialize(indexing.weighted_terms(docs, weights).where("term_frequency > 0"), "terms")
+        found = retrieval.bm25(indexing.with_token_count(docs.select("document_id"), t), t, queries, 50)
+        means.append(evaluation.macro(evaluation.per_query(found, graded).join(names, "query_id"), "repository"))
+    return evaluation.parity_by(*means, "repository").select("repository", F.round("ndcg_delta", 5).alias("ndcg_delta"))
+
+
 @query
 def eval_parity_delta(spark, sf_dir):
     """The same queries over the text alone and over text, path and id."""
@@ -402,8 +456,20 @@ def fixed_window_chunks(spark, sf_dir):
 
 @query
 def chunk_coverage(spark, sf_dir):
+    """Whether cores follow one another, and the hash of the texts that they put together again."""
     docs = corpus(spark, sf_dir)
-    return chunking.coverage(chunking.chunk(docs, "lexical", chunking.Config(max_size=80, max_bytes=900, max_input=WHOLE)), docs).select("document_id", "covered")
+    chunks = shared.materialize(chunking.chunk(docs, "lexical", chunking.Config(max_size=80, max_bytes=900, max_input=WHOLE)).select("document_id", "ordinal", "start_byte", "end_byte", "text"), "chunks")
+    # a document's chunks are the document: no more than one text comes together
+    again = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("parts"))
+    again = again.select("document_id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    whole = chunking.coverage(chunks, docs).select("document_id", "covered").join(again, "document_id", "left")
+    return whole.select("document_id", "covered", F.sha2(F.coalesce("text", F.lit("")), 256).alias("restored"))
+
+
+@query
+def auto_chunks(spark, sf_dir):
+    """Prose has no grammar, so it goes to windows of the default size."""
+    return chunking.chunk(corpus(spark, sf_dir), "auto").select("document_id", F.col("ordinal").cast("long").alias("ordinal"), "start_byte", "end_byte", "context_end_byte", F.sha2("text", 256).alias("text_hash"))
 
 
 @query
@@ -493,8 +559,10 @@ def cache_conflicts(spark, sf_dir):
 
 @query
 def generation_retention(spark, sf_dir):
-    rows = [("a", "a-300-3", 300, 3, True), ("a", "a-200-2", 200, 2, False), ("a", "a-100-1", 100, 1, False), ("b", "b-1-1", 1, 1, False), ("c", "c-9-9", 9, 9, True), ("c", "c-8-1", 8, 1, False)]
-    return incremental.retention(spark.createDataFrame(rows, "alias string, name string, seconds long, nanos long, active boolean"), 3)
+    """A listing of ten generations an alias, one of which is active but for every fourth alias."""
+    n = F.col("doc_id")
+    listing = table(spark, sf_dir, "documents").select((n / 10).cast("long").cast("string").alias("alias"), n.cast("string").alias("name"), (n % 4).alias("seconds"), (n % 3).alias("nanos"), ((n % 10 == 3) & ((n / 10).cast("long") % 4 != 0)).alias("active"))
+    return incremental.retention(listing, 5)
 
 
 @query
@@ -502,3 +570,52 @@ def request_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("chars"))
     packed = requests.pack(requests.batches(docs, "doc_id", 128), "batch", "doc_id", "chars", 16, 20_000)
     return packed.select("doc_id", "batch", F.col("request").cast("long").alias("request"))
+
+
+# -- stored indexes, sources, streams
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of nine tenths of the documents, then updated: one tenth new, one changed, one deleted."""
+    docs = corpus(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    kind = F.col("document_id").cast("long") % 10
+    index = Index(spark, shared.fresh_path(spark, "index"))
+    index.replace(docs.where(kind != 1))
+    new = docs.where(kind <= 2).where(kind >= 1).withColumn("content", F.when(kind == 2, F.concat(F.lit("renewed "), "content")).otherwise(F.col("content")))
+    index.update(new, docs.where(kind == 3).select("document_id"))
+    return index
+
+
+@query
+def index_update_search(spark, sf_dir):
+    """Search over a stored index after an update that touched three tenths of it."""
+    return rounded(_updated(spark, sf_dir).search(benchmark_queries(spark, sf_dir), 10, 50))
+
+
+@query
+def index_update_stats(spark, sf_dir):
+    return _updated(spark, sf_dir).term_stats()
+
+
+@query
+def index_update_documents(spark, sf_dir):
+    return _updated(spark, sf_dir).documents().select("document_id", F.sha2("content", 256).alias("content_hash"), "token_count")
+
+
+@query
+def jsonl_corpus(spark, sf_dir):
+    """The corpus by way of JSON lines, as an evaluation has it."""
+    path = shared.fresh_path(spark, "corpus")
+    docs = corpus(spark, sf_dir)
+    docs.select(F.to_json(F.struct(F.col("document_id").alias("doc_id"), F.concat(F.lit("./"), "path").alias("path"), "language", F.col("content").alias("text")))).write.text(path)
+    return corpora.corpus(spark, path).select("document_id", "path", "language", F.sha2("content", 256).alias("content_hash"))
+
+
+@query
+def streamed_documents(spark, sf_dir):
+    """Files that a stream brings into an index, as its documents: a window of 6,000 bytes each."""
+    source, where = shared.fresh_path(spark, "files"), shared.fresh_path(spark, "streamed")
+    corpus(spark, sf_dir).select("path", "content", "language").write.json(source)
+    index = Index(spark, f"{where}/index")
+    ingest.ingest(spark, source, index, f"{where}/checkpoint").awaitTermination()
+    return index.documents().select("document_id", "path", F.sha2("content", 256).alias("content_hash"))

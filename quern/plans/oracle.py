@@ -55,6 +55,20 @@ pairs AS (
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM pairs) WHERE rank <= {limit})"""
 
 
+def in_order(doubles: str) -> str:
+    """The sum of a list in double precision, from left to right."""
+    return f"list_reduce(list_prepend(CAST(0 AS DOUBLE), {doubles}), lambda s, x: s + x)"
+
+
+def dimensions(source: str, value: str, more: str = "") -> str:
+    """A row for each dimension of the list v of ``source``."""
+    return f"WITH {EMB} SELECT document_id{more}, CAST(nth - 1 AS BIGINT) AS \"at\", CAST(CAST({value} AS FLOAT) AS DOUBLE) AS x FROM (SELECT *, unnest(v) AS e, unnest(range(1, len(v) + 1)) AS nth FROM ({source}))"
+
+
+def unit(of: str) -> str:
+    return f"SELECT *, sqrt({in_order('list_transform(v, lambda x: x * x)')}) AS s FROM (SELECT document_id, {of} AS v FROM emb)"
+
+
 CODED = """coded AS (
   SELECT document_id, label, scale, q, list_transform(q, lambda x: CAST(CAST(x AS FLOAT) * scale + shift AS FLOAT)) AS back, embedding
   FROM (SELECT *, list_transform(embedding, lambda x: greatest(-128, least(127, CAST(round(CAST(CAST((x - shift) AS FLOAT) / scale AS FLOAT)) AS INTEGER)))) AS q
@@ -131,6 +145,14 @@ def boundary(p: str) -> str:
     return f"CASE WHEN NOT {inside.format(p)} THEN {p} WHEN NOT {inside.format(p + ' - 1')} THEN {p} - 1 WHEN NOT {inside.format(p + ' - 2')} THEN {p} - 2 ELSE {p} - 3 END"
 
 
+
+def windows(size: int, overlap: int) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, hex(encode(text)) AS x, strlen(text) AS n FROM documents WHERE text <> ''),
+w AS (SELECT document_id, 0 AS ordinal, 0 AS s FROM d UNION ALL SELECT w.document_id, ordinal + 1, {boundary(f"s + {size - overlap}")} FROM w JOIN d USING (document_id) WHERE s + {size} < n),
+e AS (SELECT document_id, ordinal, s, coalesce(lead(s) OVER (PARTITION BY document_id ORDER BY ordinal), n) AS e, {boundary(f"least(s + {size}, n)")} AS c, x FROM w JOIN d USING (document_id))
+SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte, CAST(c AS BIGINT) AS context_end_byte, sha256(unhex(substr(x, 2 * s + 1, 2 * (c - s)))) AS text_hash FROM e"""
+
+
 PRODUCT = {"rs": "rust", "py": "python", "h": "c", "json": "json", "tsx": "tsx", "md": "markdown", "yml": "yaml", "go": "go", "tf": "hcl"}
 EVALUATED = {"rs": "rust", "h": "c", "json": "json", "tsx": "typescript", "md": "markdown", "yml": "yaml", "go": "go"}
 TREES = {"rs": "rust", "py": "python", "h": "ambiguous", "tsx": "tsx", "go": "go"}
@@ -154,9 +176,9 @@ SQL: dict[str, str] = {
     "dense_int8_topk": f"WITH {EMB}, {CODED}, {dense(20, 'back').removeprefix(EMB + ',')} {ROUNDED} FROM near",
     "cosine_double": f"WITH {EMB} SELECT CAST(q.vec_id // 50 AS VARCHAR) AS query_id, d.document_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS cosine FROM (SELECT * FROM emb WHERE vec_id % 50 = 0) q, emb d",
     "int8_codec": f"WITH {EMB}, {CODED} SELECT document_id, round(CAST(scale AS DOUBLE), 9) AS scale, CAST(list_min(q) AS BIGINT) AS low, CAST(list_max(q) AS BIGINT) AS high, CAST(list_sum(q) AS BIGINT) AS total, list_max(list_transform(list_zip(back, embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) <= CAST(scale AS DOUBLE) * 0.51 AS close FROM coded",
-    "mrl_project_32": f"WITH {EMB} SELECT document_id, list_transform(v, lambda x: round(CAST(CAST(x / s AS FLOAT) AS DOUBLE), 5)) AS v FROM (SELECT document_id, embedding[:32]::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding[:32]::DOUBLE[], lambda x: x * x))) AS s FROM emb)",
-    "l2_normalize": f"WITH {EMB} SELECT document_id, list_transform(v, lambda x: round(CAST(CAST(x / s AS FLOAT) AS DOUBLE), 5)) AS v, round(sqrt(list_sum(list_transform(v, lambda x: (x / s) * (x / s)))), 5) AS norm FROM (SELECT document_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS s FROM emb)",
-    "layer_norm": f"WITH {EMB} SELECT document_id, list_transform(v, lambda x: round(CAST(CAST((x - m) / sqrt(s + 1e-5) AS FLOAT) AS DOUBLE), 4)) AS v FROM (SELECT *, list_avg(list_transform(v, lambda x: (x - m) * (x - m))) AS s FROM (SELECT document_id, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS m FROM emb))",
+    "mrl_project_32": dimensions(unit("embedding[:32]::DOUBLE[]"), "e / s"),
+    "l2_normalize": dimensions(f"SELECT *, round(sqrt({in_order('list_transform(v, lambda x: CAST(CAST(x / s AS FLOAT) AS DOUBLE) * CAST(CAST(x / s AS FLOAT) AS DOUBLE))')}), 5) AS norm FROM ({unit('embedding::DOUBLE[]')})", "e / s", ", norm"),
+    "layer_norm": dimensions(f"SELECT *, {in_order('list_transform(v, lambda x: (x - m) * (x - m))')} / len(v) AS s FROM (SELECT document_id, embedding::DOUBLE[] AS v, {in_order('embedding::DOUBLE[]')} / len(embedding) AS m FROM emb)", "(e - m) / sqrt(s + 1e-5)"),
     "mean_pool_by_label": f"WITH {EMB} SELECT label, CAST(nth - 1 AS BIGINT) AS \"at\", round(avg(CAST(x AS DOUBLE)), 7) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS nth FROM emb) GROUP BY label, nth",
     "weighted_window_mean": f"WITH {EMB} SELECT label, CAST(nth - 1 AS BIGINT) AS \"at\", round(sum(CAST(CAST(x / s AS FLOAT) AS DOUBLE) * w) / sum(w), 7) AS x FROM (SELECT label, vec_id % 7 + 1 AS w, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS s, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS nth FROM emb) GROUP BY label, nth",
     "rrf_hybrid": rrf(),
@@ -173,6 +195,7 @@ scored AS (SELECT query_id, document_id, CAST((h // 2199023255552) / 8388608.0::
     "eval_per_query": f"WITH {bm25()}, {JUDGED}, {METRICS} SELECT query_id, round(ndcg, 5) AS ndcg, round(recall, 5) AS recall, round(reciprocal_rank, 5) AS reciprocal_rank FROM metrics",
     "eval_macro": f"WITH {bm25()}, {JUDGED}, {METRICS} SELECT {MEANS} FROM metrics",
     "eval_by_group": f"WITH {bm25()}, {JUDGED}, {METRICS} SELECT CAST(query_id AS BIGINT) % 4 AS part, {MEANS} FROM metrics GROUP BY 1",
+    "eval_by_repository": f"WITH {bm25()}, {JUDGED}, {METRICS} SELECT 'repo' || (CAST(query_id AS BIGINT) % 3) AS repository, {MEANS} FROM metrics GROUP BY 1",
     "unknown_judgments": "SELECT DISTINCT CAST(doc_id * 3 AS VARCHAR) AS document_id FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)",
     "latency_nearest_rank": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "normalize_path": f"WITH {PATHS} SELECT id, path, CASE WHEN path <> '' AND left(path, 1) NOT IN ('/', '\\') AND substr(path, 2, 1) <> ':' AND NOT list_contains(parts, '..') AND len(kept) > 0 THEN array_to_string(kept, '/') END AS normalized FROM (SELECT *, list_filter(parts, lambda x: x NOT IN ('', '.')) AS kept FROM (SELECT *, string_split(replace(path, '\\', '/'), '/') AS parts FROM paths))",
@@ -184,11 +207,9 @@ scored AS (SELECT query_id, document_id, CAST((h // 2199023255552) / 8388608.0::
     "document_identity": f"WITH {DOCS} SELECT document_id, sha256('quern/document/1'::BLOB || '\\x00'::BLOB || encode(path) || '\\x00'::BLOB || unhex(sha256(content)) || unhex(sha256('fingerprint')) || {u64('3')} || {u64('0')} || {u64('octet_length(encode(content))')}) AS identity FROM docs",
     "cache_key": f"SELECT i AS document_id, {KEY} AS cache_key FROM (SELECT CAST(doc_id AS VARCHAR) AS i, text AS t FROM documents)",
     "sizer_bytes_words_lines": "SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(strlen(text) AS BIGINT) AS bytes, CAST(len(regexp_extract_all(text, '[^\\s\\x0B\\x85\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')) AS BIGINT) AS words, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END AS BIGINT) AS lines FROM documents",
-    "fixed_window_chunks": f"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, hex(encode(text)) AS x, strlen(text) AS n FROM documents WHERE text <> ''),
-w AS (SELECT document_id, 0 AS ordinal, 0 AS s FROM d UNION ALL SELECT w.document_id, ordinal + 1, {boundary("s + 540")} FROM w JOIN d USING (document_id) WHERE s + 600 < n),
-e AS (SELECT document_id, ordinal, s, coalesce(lead(s) OVER (PARTITION BY document_id ORDER BY ordinal), n) AS e, {boundary("least(s + 600, n)")} AS c, x FROM w JOIN d USING (document_id))
-SELECT document_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(s AS BIGINT) AS start_byte, CAST(e AS BIGINT) AS end_byte, CAST(c AS BIGINT) AS context_end_byte, sha256(unhex(substr(x, 2 * s + 1, 2 * (c - s)))) AS text_hash FROM e""",
-    "chunk_coverage": "SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS covered FROM documents",
+    "fixed_window_chunks": windows(600, 60),
+    "auto_chunks": windows(6000, 600),
+    "chunk_coverage": "SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS covered, sha256(text) AS restored FROM documents",
     "line_chunks": """WITH tails AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all(text, '[^\\n]*\\n') AS whole, regexp_extract(text, '[^\\n]*$') AS tail FROM documents),
 a AS (SELECT *, regexp_extract(tail, '^.*\\s') AS x FROM tails),
 b AS (SELECT *, regexp_extract(substr(tail, length(x) + 1), '^.*[!-/:-@\\[-`{-~]') AS y FROM a),
@@ -204,7 +225,8 @@ SELECT document_id, CAST(i - 1 AS BIGINT) AS ordinal, CAST(e - strlen(part) AS B
     "ordered_fetch": "SELECT position, CAST(doc_id AS VARCHAR) AS document_id, lang AS language FROM documents JOIN (VALUES (0, 30), (1, 7), (3, 19), (4, 0)) v(position, i) ON doc_id = i",
     "cache_hits": "SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id % 3 <> 0 AND doc_id IN (SELECT vec_id FROM embeddings) AS hit FROM documents",
     "cache_conflicts": f"SELECT {KEY} AS cache_key FROM (SELECT CAST(doc_id AS VARCHAR) AS i, text AS t FROM documents WHERE doc_id % 5 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))",
-    "generation_retention": "SELECT * FROM (VALUES ('a', 'a-100-1')) v(alias, name)",
+    "generation_retention": """WITH listing AS (SELECT CAST(doc_id // 10 AS VARCHAR) AS alias, CAST(doc_id AS VARCHAR) AS name, doc_id % 4 AS seconds, doc_id % 3 AS nanos, doc_id % 10 = 3 AND (doc_id // 10) % 4 <> 0 AS active FROM documents)
+SELECT alias, name FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY seconds DESC, nanos DESC, name) AS nth FROM listing WHERE NOT active AND alias IN (SELECT alias FROM listing WHERE active)) WHERE nth > 3""",
     "request_packing": """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 128 AS batch, length(text) AS chars, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) AS nth FROM documents),
 w AS (
   SELECT doc_id, batch, nth, 0 AS request, 1 AS cnt, chars AS total FROM d WHERE nth = 1
@@ -217,3 +239,12 @@ SELECT doc_id, CAST(batch AS BIGINT) AS batch, CAST(request AS BIGINT) AS reques
 PLAIN = COUNTS.replace(FIELDS, "SELECT document_id AS key, content AS t, 1 AS w FROM docs")
 SQL["eval_parity_delta"] = f"""WITH a AS (WITH {bm25()}, {JUDGED}, {METRICS} SELECT avg(ndcg) AS x FROM metrics), b AS (WITH {bm25(counts=PLAIN)}, {JUDGED}, {METRICS} SELECT avg(ndcg) AS y FROM metrics)
 SELECT round(abs(x - y), 5) AS ndcg_delta, abs(x - y) <= 0.02 + 1e-15 AS passes FROM a, b"""
+
+SQL["parity_by_repository"] = f"""WITH a AS (WITH {bm25()}, {JUDGED}, {METRICS} SELECT CAST(query_id AS BIGINT) % 3 AS p, avg(ndcg) AS x FROM metrics GROUP BY 1), b AS (WITH {bm25(counts=PLAIN)}, {JUDGED}, {METRICS} SELECT CAST(query_id AS BIGINT) % 3 AS p, avg(ndcg) AS y FROM metrics GROUP BY 1)
+SELECT 'repo' || p AS repository, round(abs(x - y), 5) AS ndcg_delta FROM a JOIN b USING (p)"""
+UPDATED = COUNTS.replace(DOCS, "docs AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, source || '/' || doc_id AS path, lang AS language, CASE WHEN doc_id % 10 = 2 THEN 'renewed ' ELSE '' END || text AS content FROM documents WHERE doc_id % 10 <> 3)")
+SQL["index_update_search"] = f"WITH {bm25(counts=UPDATED)} {ROUNDED} FROM found WHERE rank <= 10"
+SQL["index_update_stats"] = f"WITH {UPDATED} SELECT term, count(*) AS document_frequency FROM terms GROUP BY term"
+SQL["index_update_documents"] = f"WITH {UPDATED} SELECT document_id, sha256(content) AS content_hash, token_count FROM docs JOIN counts USING (document_id)"
+SQL["jsonl_corpus"] = f"WITH {DOCS} SELECT document_id, path, language, sha256(content) AS content_hash FROM docs"
+SQL["streamed_documents"] = f"SELECT source || '/' || c.document_id || '#' || ordinal AS document_id, source || '/' || c.document_id AS path, text_hash AS content_hash FROM ({windows(6000, 600)}) c JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.document_id"

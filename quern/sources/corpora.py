@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.errors import CorpusError
 from quern.functions import identity
 from quern.operators import eligibility
+from quern.operators.common import nonblank
 from quern.operators.incremental import duplicate_ids
 
 CORPUS = "doc_id string, path string, language string, text string"
@@ -20,7 +21,7 @@ JUDGMENTS = "query string, graded_doc_ids map<string,int>"
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """One object a line; blank lines are skipped, a malformed one is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(nonblank("value"))
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators import chunking, incremental
+from quern.operators.common import nonblank
 from quern.operators.store import Index
 
 FILE_SCHEMA = "path string, content string, language string"
@@ -15,7 +16,7 @@ FILE_SCHEMA = "path string, content string, language string"
 def documents_of(files: DataFrame, config: chunking.Config = chunking.Config()) -> DataFrame:
     """Index documents (one for each nonblank chunk) of (path, content, language)."""
     docs = files.select(F.col("path").alias("document_id"), "language", "content")
-    chunks = chunking.chunk(docs, config=config).where(F.trim("text") != "")
+    chunks = chunking.chunk(docs, config=config).where(nonblank("text"))
     return chunks.select(F.col("chunk_id").alias("document_id"), F.col("document_id").alias("path"), "language", F.col("text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
 
 

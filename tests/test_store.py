@@ -214,3 +214,83 @@ def test_embedders(spark, tmp_path):
     assert (artifacts.tensors(artifacts.verified(str(tmp_path / "m")))["t"] == table).all()
     with pytest.raises(errors.InvalidValue):
         artifacts.verified(str(tmp_path / "m"), length=3)
+
+
+def test_updates_give_what_a_new_build_gives(spark, tmp_path, monkeypatch):
+    from quern.operators import store
+
+    monkeypatch.setattr(store, "MOST_SEGMENTS", 3)
+    index, held = Index(spark, str(tmp_path / "i")), {}
+    steps = [
+        ({"a": "alpha beta", "b": "beta gamma", "c": "gamma delta"}, []),
+        ({"a": "alpha new", "d": "delta delta"}, ["b"]),
+        ({"b": "beta again"}, ["nowhere", "d"]),
+        ({"b": "beta thrice", "d": "delta back"}, ["a"]),
+        ({}, ["c"]),
+    ]
+    analyzed = []
+    from quern.operators import indexing
+
+    terms_of = indexing.weighted_terms
+    monkeypatch.setattr(indexing, "weighted_terms", lambda d, *w: (analyzed.append(d.count()), terms_of(d, *w))[1])
+    for n, (new, stale) in enumerate(steps):
+        rows = docs(spark, *[(i, t, None) for i, t in new.items()]) if new else spark.createDataFrame([], DOCUMENTS)
+        if n == 0:
+            index.replace(rows)
+        else:
+            index.update(rows, spark.createDataFrame([(i,) for i in stale], "document_id string"))
+        held = {i: t for i, t in held.items() if i not in stale} | new
+        assert {r.document_id: r.content for r in index.documents().collect()} == held
+        whole = Index(spark, str(tmp_path / f"whole{n}"))
+        monkeypatch.setattr(indexing, "weighted_terms", terms_of)
+        whole.replace(docs(spark, *[(i, t, None) for i, t in held.items()]))
+        monkeypatch.setattr(indexing, "weighted_terms", lambda d, *w: (analyzed.append(d.count()), terms_of(d, *w))[1])
+        for name in ("term_stats", "terms"):
+            assert sorted(map(tuple, getattr(index, name)().select("term", *(["document_frequency"] if name == "term_stats" else ["document_id", "term_frequency"])).collect())) == sorted(map(tuple, getattr(whole, name)().select("term", *(["document_frequency"] if name == "term_stats" else ["document_id", "term_frequency"])).collect()))
+        asked = spark.createDataFrame([("q", "beta delta"), ("r", "gamma alpha")], "query_id string, text string")
+        assert sorted(map(tuple, index.search(asked).collect())) == sorted(map(tuple, whole.search(asked).collect()))
+    # only what was new was analyzed, and segments were merged
+    assert analyzed == [3, 2, 1, 2, 0]
+    assert len(index.segments()) <= 3 and len(index.generations()) <= 2
+
+
+def test_any_white_space_is_blank(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"))
+    for blank in ("\n\t", "\u00a0\u2003", ""):
+        with pytest.raises(Exception, match="blank"):
+            index.replace(docs(spark, ("x", blank, None)))
+    files = spark.createDataFrame([("a", "\n\t \u2003", "text"), ("b", "x", "text")], ingest.FILE_SCHEMA)
+    assert [r.path for r in ingest.documents_of(files).collect()] == ["b"]
+    queries = spark.createDataFrame([(str(i), "\u2003" if i == 3 else f"q{i}") for i in range(30)], "query_id string, text string")
+    from quern.operators import evaluation
+
+    with pytest.raises(errors.CorpusError, match="blank"):
+        evaluation.validate_judgments(queries, spark.createDataFrame([], "query_id string, document_id string, grade int"), queries)
+
+
+def test_a_binary_index_searches_its_stored_vectors(spark, tmp_path):
+    m = Manifest(model_id="m", embedding_profile="p", embed_dim=2, mrl_dim=2, quantization="binary_backend")
+    index = Index(spark, str(tmp_path / "i"), m)
+    index.replace(docs(spark, ("a", "alpha", [1.0, 0.0]), ("b", "beta", [0.0, 1.0])))
+    q, v = spark.createDataFrame([("q", "zzz")], "query_id string, text string"), spark.createDataFrame([("q", [0.1, 1.0])], "query_id string, embedding array<float>")
+    assert [r.document_id for r in index.search(q, 5, 5, v).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_the_embedding_cache_serves_what_it_holds(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "x"))
+    rows = docs(spark, ("a", "alpha", None), ("b", "beta", None))
+    first = {r.document_id: r.embedding for r in index.embedded(rows, HashEmbedder(4)).collect()}
+    more = docs(spark, ("a", "alpha", None), ("b", "changed", None), ("c", "new", None))
+    second = {r.document_id: r.embedding for r in index.embedded(more, HashEmbedder(4)).collect()}
+    assert second["a"] == first["a"] and all(v is not None for v in second.values())
+    # what the cache held wasn't embedded, and so not appended, again
+    assert spark.read.parquet(str(tmp_path / "x" / "cache")).count() == 4
+
+
+@pytest.mark.parametrize("query,top,candidates", [(" ", 5, 10), ("x", 0, 10), ("x", 51, 100), ("x", 10, 9), ("x", 10, 1001)])
+def test_requests_are_bounded(query, top, candidates):
+    from quern.operators import retrieval
+
+    with pytest.raises(ValueError):
+        retrieval.check_request(query, top, candidates)
+    retrieval.check_request("x", 50, 1000)
