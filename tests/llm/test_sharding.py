@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -45,29 +46,103 @@ def check(rows, docs, shards=24):
     return [loads[s] for s in range(shards)]
 
 
+def defined_loads(weights, shards):
+    """Differencing from its definition: lists of shards' loads, the two with the largest spread combined oppositely."""
+    parts = [[w] + [0] * (shards - 1) for w in weights]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p) - min(p))
+        a, b = parts.pop(), parts.pop()
+        parts.append([x + y for x, y in zip(sorted(a), sorted(b, reverse=True))])
+    return sorted(parts[0]) if parts else [0] * shards
+
+
+def best_spread(weights, shards):
+    """The least spread of all partitions."""
+    least = sum(weights)
+    for names in itertools.product(range(shards), repeat=len(weights)):
+        loads = [0] * shards
+        for w, s in zip(weights, names):
+            loads[s] += w
+        least = min(least, max(loads) - min(loads))
+    return least
+
+
+@pytest.mark.parametrize("shards", [2, 3, 5])
+def test_difference_is_that_of_the_definition(shards):
+    rng = random.Random(shards)
+    for n in (1, 2, 7, 40):
+        weights = [rng.randint(1, 10**12) for _ in range(n)]
+        answer = sharding.difference([([w], [i]) for i, w in enumerate(weights)], shards)
+        assert sorted(sum(weights[i] for i in tags) for tags in answer) == defined_loads(weights, shards)
+    exact = 0
+    for _ in range(12):
+        weights = [rng.randint(1, 50) for _ in range(8 if shards < 4 else 6)]
+        got, least = spread(weights, sharding.difference([([w], [i]) for i, w in enumerate(weights)], shards)), best_spread(weights, shards)
+        assert least <= got <= max(weights)
+        exact += got <= least + 5
+    assert exact >= 6
+
+
 def test_edges(spark):
     rng = random.Random(1)
     docs = [(i, "é" * rng.randint(0, 900)) for i in range(3000)] + [(5000 + i, "copy " * 30) for i in range(1500)]
     docs += [(9000, None), (9001, ""), (None, "x"), (9100, "y"), (9100, "y"), (9002, "long " * 30_000)]
     df = spark.createDataFrame([(*r, 1, 2) for r in docs], "doc_id long, text string, size int, shard int")
-    rows = sharding.shard(df, split_rows=100_000, cells=5, numbered=40).collect()
-    loads = check(rows, docs)
-    text = dict(docs)
-    where = defaultdict(set)
-    for r in rows:
-        where[text[r.doc_id] or ""].add(r.shard)
-    assert all(len(v) == 1 for v in where.values())
-    cut = sharding.shard(df, split_rows=100, cells=5).collect()
-    loads = check(cut, docs)
-    assert max(loads) - min(loads) < 0.2 * sum(loads) / 24 or max(loads) == 150_008
+    text, whole = dict(docs), sum(len((t or "").encode()) + 8 for _, t in docs)
+    share = whole / 24
+    for cells in (1, 5):
+        rows = sharding.shard(df, cells=cells, numbered=40).collect()
+        loads = check(rows, docs)
+        where, weight = defaultdict(set), Counter()
+        for r in rows:
+            where[text[r.doc_id] or ""].add(r.shard)
+            weight[text[r.doc_id] or ""] += r["size"]
+        # only the copies outweigh a share
+        assert {t for t, s in where.items() if len(s) > 1} == {"copy " * 30} and weight["copy " * 30] > share
+        # the long text is heavier than a share; all other shards are balanced about what is left
+        others = sorted(loads)[:-1]
+        assert max(loads) == 150_008 and others[-1] - others[0] < 0.003 * share
     assert sharding.shard(df.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 14])
+def test_hot_text_with_a_third_of_the_rows(spark, cells):
+    """Also where all its rows repeat one id, and with few rows: one rule."""
+    rng = random.Random(7)
+    for n, one_id in ((4000, False), (4000, True), (300, False)):
+        docs = [(i, "w" * rng.randint(1, 1500) + str(i)) for i in range(2 * n)] + [(-1 if one_id else -i, "hot " * 200) for i in range(1, n + 1)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        loads = check(sharding.shard(df, cells=cells, numbered=500).collect(), docs)
+        assert max(loads) - min(loads) <= (20 if n > 300 else 810)
+
+
+def test_hot_join_keys_are_spread(spark):
+    from quern.llm import common
+
+    big = spark.range(900).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    small = big.select("k").distinct().withColumn("name", F.col("k") * 2)
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert common.hot_keys(counts, ["k"], "n", 900) is None
+    old, common.HOT_ROWS = common.HOT_ROWS, 100
+    try:
+        hot = common.hot_keys(counts, ["k"], "n", 900)
+        assert [tuple(r) for r in hot.collect()] == [(0, 6)]
+        got = common.salted_join(big, small, ["k"], F.xxhash64("v"), "inner", hot=hot, measured=True)
+        assert sorted(map(tuple, got.select("k", "v", "name").collect())) == [(0 if i < 600 else i, i, 0 if i < 600 else 2 * i) for i in range(900)]
+    finally:
+        common.HOT_ROWS = old
+
+
 def test_query_balances_the_whole_table(spark):
     path = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     df = queries.QUERIES["op6_karmarkar_karp_sharding"](spark, path)
     rows = df.collect()
     loads = check(rows, docs)
-    assert max(loads) - min(loads) < 0.002 * sum(loads) / 24
+    groups = Counter()
+    for _, t in docs:
+        groups[t] += len((t or "").encode()) + 8
+    assert max(groups.values()) <= sum(loads) / 24
+    brute = defined_loads(list(groups.values()), 24)
+    assert max(loads) - min(loads) <= max(10, 2 * (brute[-1] - brute[0]))
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
