@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from quern.llm.common import byte_texts, discard, documents, field, hex64, materialize, partitions, salted_join
+from quern.llm.common import byte_texts, discard, documents, field, fresh, hex64, hot_keys, materialize, partitions, salted_join
 
 SEED = 42
 SHINGLE = 3
@@ -179,13 +179,15 @@ def links(distinct: DataFrame, max_distance: int = 2, hot_bucket: int = HOT_BUCK
     spark = distinct.sparkSession
     n = max(partitions(spark), spark.sparkContext.defaultParallelism)
     keyed = _keyed(distinct.repartition(n, "fp"), ball=False)
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(salted_join(keyed, sizes, ["key"], F.xxhash64("fp"), "inner"), "golay-keys")
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "golay-sizes")
+    hot = hot_keys(sizes, ["key"], "size", sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0])
+    shared = materialize(salted_join(keyed, sizes, ["key"], F.xxhash64("fp"), "inner", hot=hot, measured=True), "golay-keys")
     found = _verified(shared.where(F.col("size") <= hot_bucket).select("key", "fp"), max_distance)
     hot = shared.where(F.col("size") > hot_bucket).select("fp").distinct()
     found = found.unionByName(_verified(_keyed(hot.repartition(n, "fp"), ball=True), max_distance))
     out = materialize(found.distinct(), "simhash-links")
     discard(shared)
+    discard(sizes)
     return out
 
 
@@ -198,6 +200,7 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
     """
     spark = edges.sparkSession
     mapping: DataFrame | None = None
+    own = False
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("root"))
@@ -217,11 +220,38 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
             ends = salted_join(ends, names, [c], F.xxhash64("u", "v"), "inner").drop(c).withColumnRenamed("__to", c)
         ends = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
         ends = materialize(ends, "cc-edges")
-        mapping, edges = merged, ends
+        for table in (step, mapping) if mapping is not None else ():
+            discard(table)
+        if own:
+            discard(edges)
+        mapping, edges, own = merged, ends, True
         if edges.isEmpty():
+            discard(edges)
             return mapping
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, max_distance: int = 2, hot_bucket: int = HOT_BUCKET) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (doc_id, fp), their distinct fingerprints (fp, n, n_near, root, component_id), and which of these are hot."""
+    rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
+    classes = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "simhash-classes")
+    hot = hot_keys(classes, ["fp"], "n", classes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
+    edges = links(classes, max_distance, hot_bucket)
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    others = both.join(classes.select(F.col("fp").alias("v"), "n"), "v").groupBy(F.col("u").alias("fp")).agg(F.sum("n").alias("others"))
+    roots = components(edges)
+    named = classes.join(others, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = materialize(named, "simhash-roots")
+    for table in (classes, edges, roots):
+        discard(table)
+    leasts = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    wide = hot_keys(leasts, ["root"], "members", joined.count())
+    named = salted_join(joined, leasts.drop("members"), ["root"], F.xxhash64("fp"), "inner", hot=wide, measured=True)
+    n_near = (F.col("n") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_near")
+    named = materialize(named.select("fp", "n", n_near, "root", "component_id"), "simhash-named")
+    discard(joined)
+    return rows, named, hot
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 2, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(doc_id, fingerprint, n_near, component_id), one row for each input row.
 
@@ -231,28 +261,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no row reached has a doc_id.  An empty table gives an empty table.  Columns
     other than the two named are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    classes = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "simhash-classes")
-    edges = links(classes, max_distance, hot_bucket)
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    others = both.join(classes.select(F.col("fp").alias("v"), "n"), "v").groupBy(F.col("u").alias("fp")).agg(F.sum("n").alias("others"))
-    roots = components(edges).withColumnRenamed("node", "fp")
-    named = classes.join(others, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(named, "simhash-named")
-    leasts = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = salted_join(named, leasts, ["root"], F.xxhash64("fp"), "inner")
-    named = named.select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_near"), "component_id")
-    out = salted_join(rows, named, ["fp"], F.xxhash64("doc_id"), "inner")
+    rows, named, hot = _classes(docs, id_col, text_col, max_distance, hot_bucket)
+    out = salted_join(rows, named, ["fp"], F.xxhash64("doc_id"), "inner", hot=hot, measured=True)
     return out.select("doc_id", hex64("fp").alias("fingerprint"), "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that represent their group, with all their columns.
 
-    The group's least doc_id stays; of repeated rows with that doc_id one stays.
-    A row without doc_id can't be named by a decision and stays.
+    Of each group one row of the least doc_id stays: if rows of that group share it,
+    one of the least fingerprint, and of rows with equal ids and fingerprints one.
+    Rows with one id but in different groups are decided apart.  A row without
+    doc_id can't be named by a decision and stays.  An empty table gives an empty one.
+
+    Scale: decisions are made on ids and fingerprints; the rows themselves are moved
+    once, for the join with those that stay.  Only rows whose id occurs repeatedly are
+    fingerprinted again, to tell them apart.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(docs[id_col].isNull()))
+    rows, named, hot = _classes(docs, id_col, text_col)
+    own = salted_join(rows, named.select("fp", "root", "component_id"), ["fp"], F.xxhash64("doc_id"), "inner", hot=hot, measured=True)
+    own = own.where(F.col("doc_id") == F.col("component_id"))
+    key, mark = fresh(docs, "__kept"), fresh(docs, "__fingerprint")
+    firsts = materialize(own.groupBy("root").agg(F.min("doc_id").alias(key), F.min("fp").alias(f"{mark}_kept")).drop("root"), "near-kept")
+    often = materialize(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "near-repeated")
+    discard(rows)
+    discard(named)
+    unnamed = docs.where(docs[id_col].isNull())
+    if often.isEmpty():
+        discard(often)
+        return docs.join(firsts, docs[id_col] == F.col(key), "left_semi").unionByName(unnamed)
+    repeated = F.col(key) == F.col("doc_id")
+    clear = docs.join(firsts.join(often, repeated, "left_anti"), docs[id_col] == F.col(key), "left_semi")
+    unclear = firsts.join(often, repeated, "left_semi")
+    some = _with_fingerprint(docs.join(unclear, docs[id_col] == F.col(key), "left_semi"), text_col, mark)
+    some = some.join(unclear, (some[id_col] == F.col(key)) & (some[mark] == F.col(f"{mark}_kept")), "left_semi")
+    return clear.unionByName(some.dropDuplicates([id_col, mark]).drop(mark)).unionByName(unnamed)
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with its fingerprint as one more column."""
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter(map(fingerprint, byte_texts(batch.column(at))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], schema.names)
+
+    return docs.mapInArrow(run, schema)

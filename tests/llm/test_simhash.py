@@ -103,3 +103,21 @@ def test_whole_small_table_matches_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == brute(rows, [brute_fp(t) for _, t in rows])
+
+
+def test_rows_with_one_id_and_different_texts(spark):
+    """Of each group one row stays, also where an id occurs in several groups, or twice in one."""
+    words = [f"w{i}" for i in range(400)]
+    base, other = " ".join(words), " ".join(reversed(words))
+    near = next(t for i in range(400) if 0 < (brute_fp(t := " ".join(words[:i] + ["zz"] + words[i + 1 :])) ^ brute_fp(base)).bit_count() <= 2)
+    rows = [(5, base), (5, near), (5, near), (9, base), (5, other), (7, other), (8, "alone here it is"), (3, None), (4, ""), (None, base)]
+    for some in (rows, rows * 3, rows[6:]):
+        df = spark.createDataFrame([(*r, 1, 2, "x") for r in some], "doc_id long, text string, fp int, __kept int, __FINGERPRINT string").repartition(5)
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert sum(i is None for i, _ in got) == sum(i is None for i, _ in some)
+        named = sorted((i, t or "") for i, t in got if i is not None)
+        first = min((base, near), key=lambda t: brute_fp(t) - (brute_fp(t) >> 63 << 64))
+        want = [(3, ""), (8, "alone here it is")] + ([(5, first), (5, other)] if some != rows[6:] else [])
+        assert named == sorted(want)
