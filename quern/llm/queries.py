@@ -88,6 +88,11 @@ def op5_anchor_expansion_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(pii.scan(_table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op5 SQL can express: the base kinds' counts and digest."""
+    return op5_anchor_expansion_pii(spark, sf_dir).drop("spans")
+
+
 def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -118,6 +123,11 @@ def op10_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan(_table(spark, sf_dir, "documents")), secrets.BASE)
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10 SQL can express: the base kinds' counts and digest."""
+    return op10_randomness_secret_scan(spark, sf_dir).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_order_minhash": op2_order_minhash,
@@ -125,16 +135,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "word_rollups": word_rollups,
     "op4_kneser_ney_language_id": op4_kneser_ney_language_id,
     "op5_anchor_expansion_pii": op5_anchor_expansion_pii,
+    "pii_base_spans": pii_base_spans,
     "op6_karmarkar_karp_sharding": op6_karmarkar_karp_sharding,
     "op7_bounded_space_packing": op7_bounded_space_packing,
     "op8_layout_aware_html": op8_layout_aware_html,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
     "op10_randomness_secret_scan": op10_randomness_secret_scan,
+    "secret_base_spans": secret_base_spans,
 }
 
 _WORDS_SQL = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_DIGITS_SQL = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"list_sum(list_transform(string_split(reverse({_DIGITS_SQL}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0"
+_ASSIGN_SQL = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Kind, pattern, and which matches m count.
+_PII_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: NOT coalesce(try_cast(x AS HUGEINT) <= 255, false))) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS_SQL}) BETWEEN 16 AND 19 AND {_LUHN_SQL}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS_SQL}) BETWEEN 8 AND 15"),
+)
+_SECRETS_SQL = (
+    ("assign", _ASSIGN_SQL, f"length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+)
+
+
+def _spans_sql(kinds: tuple[tuple[str, str, str], ...], order: str) -> str:
+    """Counts and digest of leftmost matches; a match starts after all that was split off and matched before."""
+    found = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{name}' AS kind, i, m, p, {keep} AS kept FROM (SELECT r, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS ps FROM d) WHERE len(ms) > 0)"
+        for k, (name, pattern, keep) in enumerate(kinds)
+    )
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{name}') AS BIGINT) AS n_{name}" for name, _, _ in kinds)
+    names = ", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _, _ in kinds)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found}),
+s AS (SELECT r, k, kind, kept, sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS a, length(m) AS n FROM f WINDOW w AS (PARTITION BY r, k ORDER BY i)),
+g AS (SELECT r, {counts}, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY {order}) AS digest FROM s WHERE kept GROUP BY r)
+SELECT doc_id, {names}, sha256(coalesce(digest, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "pii_base_spans": _spans_sql(_PII_SQL, "k, a"),
+    "secret_base_spans": _spans_sql(_SECRETS_SQL, "a, k"),
     "word_rollups": r"""
 SELECT source, lang, 'words-v1' AS tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
 FROM (

@@ -111,3 +111,10 @@ def test_query_matches_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert r.spans == ",".join(":".join(map(str, s)) for s in pii.find(docs[r.doc_id]))
     assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows) > 20
+
+
+def test_base_spans_agree_with_sql(spark):
+    from tests.llm.oracle import assert_agrees
+
+    path = "/root/testdata/sf0.01"
+    assert_agrees(queries.QUERIES["pii_base_spans"](spark, path), queries.ORACLE_SQL["pii_base_spans"], path)

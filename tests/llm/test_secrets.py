@@ -281,3 +281,10 @@ def test_planted_keys_of_each_encoding_are_found(spark, tmp_path):
     false = {t for t in found if not any(v in t or t in v for v in real)}
     assert all(hit[k] >= 0.9 * total[k] for k in total), hit
     assert len(false) <= 0.05 * len(found), false
+
+
+def test_base_spans_agree_with_sql(spark):
+    from tests.llm.oracle import assert_agrees
+
+    path = "/root/testdata/sf0.01"
+    assert_agrees(queries.QUERIES["secret_base_spans"](spark, path), queries.ORACLE_SQL["secret_base_spans"], path)
