@@ -32,7 +32,7 @@ def index_corpus(spark: SparkSession, corpus: str, path: str) -> dict:
 def index_folder(spark: SparkSession, root: str, path: str) -> dict:
     """Index a folder's files, only changed ones if the last run's checkpoint fits."""
     index = Index(spark, path, Manifest())
-    files = corpora.eligible(corpora.files(spark, root))
+    files = corpora.eligible(corpora.workspace_files(spark, root))
     delta = delta_of(index, files, root).cache()
     changed = files.join(delta.where("status IN ('new', 'changed')").select("path"), "path", "left_semi")
     new = documents_of(changed.select("path", F.col("content").cast("string").alias("content"), "language"))
@@ -43,6 +43,9 @@ def index_folder(spark: SparkSession, root: str, path: str) -> dict:
     name = index.update(new, stale) if incremental else index.replace(new)
     ids = index.documents().groupBy("path").agg(F.collect_list("document_id").alias("document_ids"))
     now = delta.where("status IN ('new', 'changed', 'unchanged')").select("path", "content_hash").join(ids, "path", "left")
+    # taken files of which no chunk holds anything
+    if empty := now.where("document_ids IS NULL").count():
+        counts["empty_chunks"] = empty
     index.finish(root, now.withColumn("document_ids", F.coalesce("document_ids", F.array().cast("array<string>"))))
     delta.unpersist()
     return {"generation": name, "mode": "incremental" if incremental else "full", "files": counts, "documents": index.document_count()}

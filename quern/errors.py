@@ -105,3 +105,7 @@ class IndexFailure(QuernError):
     def __init__(self, kind: str, code: str, message: str, retry: str | float = "never") -> None:
         self.kind, self.code, self.retry = kind, code, retry
         super().__init__(f"{kind}/{code}: {message}")
+
+
+class Stalled(QuernError):
+    """A long action made no progress, or was cancelled."""

@@ -72,6 +72,52 @@ class StaticEmbedder:
         return np.stack([self.embed_query(t) for t in texts])
 
 
+def windows(tokens: int, size: int = 256, overlap: int = 32) -> list[tuple[int, int]]:
+    """Ranges of at most ``size`` tokens, each after the first beginning ``overlap`` before the last one's end."""
+    if not 0 <= overlap < size:
+        raise errors.InvalidValue("the overlap must be smaller than the window")
+    out, at = [], 0
+    while at < tokens:
+        out.append((at, min(tokens, at + size)))
+        if out[-1][1] == tokens:
+            break
+        at += size - overlap
+    return out
+
+
+class WindowedEmbedder:
+    """Texts of any length by a model of bounded input: windows, their mean weighted by tokens, unit length.
+
+    ``encode`` gives a text's token ids, ``model`` a vector for each of a batch of id
+    lists.  Windows of all texts are sorted by length, so a batch holds little padding;
+    their order is restored.  A text without tokens is an error.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], model: Callable[[list[list[int]]], np.ndarray], dimensions: int, size: int = 256, overlap: int = 32, batch: int = 32) -> None:
+        self.encode, self.model, self.dimensions = encode, model, dimensions
+        self.size, self.overlap, self.batch = size, overlap, batch
+
+    def embed_batch(self, texts: list[str]) -> np.ndarray:
+        parts = [(i, ids[a:b]) for i, t in enumerate(texts) for ids in [self.encode(t)] for a, b in windows(len(ids), self.size, self.overlap)]
+        total, weight = np.zeros((len(texts), self.dimensions)), np.zeros(len(texts))
+        order = sorted(range(len(parts)), key=lambda p: len(parts[p][1]))
+        for a in range(0, len(order), self.batch):
+            some = [parts[p] for p in order[a : a + self.batch]]
+            for (i, ids), v in zip(some, np.asarray(self.model([ids for _, ids in some]), np.float64)):
+                total[i] += v * len(ids)
+                weight[i] += len(ids)
+        if len(texts) and not weight.all():
+            raise errors.EmptyValue("a text without tokens can't be embedded")
+        mean = total / np.maximum(weight, 1)[:, None]
+        norms = np.linalg.norm(mean, axis=1)
+        if not (np.isfinite(norms) & (norms > np.finfo(np.float32).eps)).all():
+            raise errors.NonFinite("a text has no direction")
+        return (mean / norms[:, None]).astype(np.float32)
+
+    def embed_query(self, text: str) -> np.ndarray:
+        return self.embed_batch([text])[0]
+
+
 def embed(docs: DataFrame, embedder: Embedder, text_col: str = "content", batch: int = 128) -> DataFrame:
     """``docs`` with ``embedding``; texts are grouped by length within a batch, and order is restored."""
     sent = docs.sparkSession.sparkContext.broadcast(embedder)

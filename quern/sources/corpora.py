@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import subprocess
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.errors import CorpusError
 from quern.functions import identity
@@ -59,33 +63,108 @@ def repositories(path: str) -> list[dict[str, str]]:
     data = json.loads(Path(path).read_text(encoding="utf-8"))
     if data.get("schema_version") != 1:
         raise CorpusError("unknown schema version of a repository list")
+    seen: dict[str, set[str]] = {"id": set(), "directory": set()}
     for r in data["repositories"]:
         if not {"id", "url", "revision", "directory"} <= set(r):
             raise CorpusError("a repository needs id, url, revision and directory")
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", r["id"]) or not str(r["url"]).strip():
+            raise CorpusError(f"bad repository {r['id']!r}")
+        if not re.fullmatch(r"[0-9a-f]{40}|[0-9a-f]{64}", r["revision"]):
+            raise CorpusError(f"the revision of {r['id']} isn't a whole hash")
+        if Path(r["directory"]).is_absolute() or ".." in Path(r["directory"]).parts or not r["directory"]:
+            raise CorpusError(f"the directory of {r['id']} leads elsewhere")
+        for name, values in seen.items():
+            if r[name] in values:
+                raise CorpusError(f"{name} {r[name]} is repeated")
+            values.add(r[name])
     return data["repositories"]
 
 
 FILES = "path string, size long, kind string, content binary"
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, kind, content) of all files under a folder that no hidden part leads to.
+@F.pandas_udf(T.BinaryType())
+def _content(places: pd.Series) -> pd.Series:
+    return places.map(lambda p: Path(p).read_bytes())
+
+
+def _walked(root: str) -> tuple[list[str], list[str]]:
+    """Relative paths below a local folder of symbolic links, which aren't followed, and of files that Spark's listing passes over."""
+    links, passed = [], []
+    for where, folders, names in os.walk(root):
+        for name in (*folders, *names):
+            path = os.path.join(where, name)
+            relative = os.path.relpath(path, root)
+            if os.path.islink(path):
+                links.append(relative)
+            elif name in names and any(p[0] in "._" for p in relative.split(os.sep)):
+                passed.append(relative)
+    return sorted(links), sorted(passed)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, kind, content) of all files under a folder.
 
-    Listing and reading are Spark's; a plan that doesn't use the content never reads
-    it, so filters on path and size come first.
+    Listing and reading are Spark's, but for what has a part beginning with ``.`` or
+    ``_``, which its listing passes over: of a local folder such files are added.  A
+    symbolic link, or what one leads to, has kind ``symlink``; only local folders can
+    hold such.
     """
     base = root.rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    place = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//)?", ""), "%20", " ")
+    # the place has a scheme, but no escapes
+    place = F.regexp_replace("path", r"^[a-z0-9]+:(//)?", "")
     relative = F.substring(place, len(base) + 1, 1 << 20)
     out = found.select(relative.alias("path"), F.col("length").alias("size"), F.lit("file").alias("kind"), "content")
-    return out.where(~identity.has_hidden_component(F.col("path")))
+    if "://" in root:
+        return out
+    links, passed = _walked(root)
+    if passed:
+        rows = spark.createDataFrame([(p, os.path.getsize(f"{base}{p}")) for p in passed], "path string, size long")
+        out = out.unionByName(rows.select("path", "size", F.lit("file").alias("kind"), _content(F.concat(F.lit(base), "path")).alias("content")))
+    if links:
+        held = F.broadcast(spark.createDataFrame([(x,) for x in links], "link string"))
+        linked = out.select("path").distinct().join(held, (F.col("path") == F.col("link")) | F.startswith("path", F.concat("link", F.lit("/")))).select("path").distinct()
+        out = out.join(linked.withColumn("__linked", F.lit(True)), "path", "left").withColumn("kind", F.when(F.col("__linked"), "symlink").otherwise(F.col("kind"))).drop("__linked")
+    return out.select("path", "size", "kind", "content")
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, kind, content) of all files under a folder that no hidden part leads to.
+
+    A plan that doesn't use the content never reads it, so filters on path and size come
+    first.
+    """
+    return _listed(spark, root).where(~identity.has_hidden_component(F.col("path")))
+
+
+def workspace_files(spark: SparkSession, root: str) -> DataFrame:
+    """``files``; in the root of a git repository only what git tracks or doesn't ignore."""
+    found = files(spark, root)
+    if git_root(root) != Path(root).resolve():
+        return found
+    return found.join(git_paths(spark, root), "path", "left_semi").select("path", "size", "kind", "content")
+
+
+def git_root(folder: str) -> Path | None:
+    """The root of the git working tree that holds a folder; None outside one, or where git is missing."""
+    try:
+        said = subprocess.run(["git", "-C", folder, "rev-parse", "--show-toplevel"], capture_output=True, text=True)
+    except FileNotFoundError:
+        return None
+    return Path(said.stdout.strip()).resolve() if said.returncode == 0 and said.stdout.strip() else None
+
+
+def workspace(folder: str = ".") -> tuple[Path, bool, Path]:
+    """What a command run in ``folder`` works on: the root, whether git keeps it, and its default index."""
+    found = git_root(folder)
+    root = found or Path(folder).resolve()
+    return root, found is not None, root / ".quern" / "index"
 
 
 def git_paths(spark: SparkSession, root: str) -> DataFrame:
     """(path) of what git tracks or doesn't ignore; the folder must be the repository's root."""
-    top = subprocess.run(["git", "-C", root, "rev-parse", "--show-toplevel"], capture_output=True, text=True)
-    if top.returncode or Path(top.stdout.strip()).resolve() != Path(root).resolve():
+    if git_root(root) != Path(root).resolve():
         raise CorpusError(f"{root} isn't the root of a git repository")
     listed = subprocess.run(["git", "-C", root, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True)
     if listed.returncode:
@@ -94,6 +173,18 @@ def git_paths(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "path string")
 
 
+def evaluation_files(spark: SparkSession, root: str, repository: str) -> DataFrame:
+    """(repository, path, size, content, skip_reason, language) of an evaluation's checkout.
+
+    Unlike ``files`` it takes hidden files, but no link and nothing below a folder that
+    evaluations ignore; what has another suffix is left out without a reason.
+    """
+    found = _listed(spark, root).where("kind = 'file'")
+    reason = eligibility.evaluation_skip_reason(F.col("path"), F.col("size"), F.col("content"))
+    out = found.select(F.lit(repository).alias("repository"), "path", "size", "content", reason.alias("skip_reason"), eligibility.evaluation_language(F.col("path")).alias("language"))
+    return out.where(F.coalesce("skip_reason", F.lit("")).isin("ignored_directory", "unsupported_extension") == F.lit(False))
+
+
 def eligible(files_: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """``files_`` with skip_reason, content_hash and language; ``previous`` is (path, content_hash) of the last run."""
     old = None

@@ -108,8 +108,13 @@ def test_corpus_source(spark, tmp_path):
     assert corpora.judgment_files(str(tmp_path)) == [str(tmp_path / "q.jsonl")]
     queries, grades = corpora.judgments(spark, [str(tmp_path / "q.jsonl")])
     assert queries.count() == 1 and {(r.document_id, r.grade) for r in grades.collect()} == {("a", 3), ("b", 0)}
-    (tmp_path / "r.json").write_text(json.dumps({"schema_version": 1, "repositories": [{"id": "i", "url": "u", "revision": "r", "directory": "d"}]}))
+    (tmp_path / "r.json").write_text(json.dumps({"schema_version": 1, "repositories": [{"id": "i", "url": "u", "revision": "a" * 40, "directory": "d"}]}))
     assert corpora.repositories(str(tmp_path / "r.json"))[0]["id"] == "i"
+    one = {"id": "i", "url": "u", "revision": "a" * 40, "directory": "d"}
+    for bad in ([one, one], [one | {"revision": "main"}], [one | {"directory": "../x"}], [one | {"id": "a b"}], [{"id": "i"}]):
+        (tmp_path / "r.json").write_text(json.dumps({"schema_version": 1, "repositories": bad}))
+        with pytest.raises(errors.CorpusError):
+            corpora.repositories(str(tmp_path / "r.json"))
     (tmp_path / "r.json").write_text(json.dumps({"schema_version": 2, "repositories": []}))
     with pytest.raises(errors.CorpusError):
         corpora.repositories(str(tmp_path / "r.json"))
@@ -294,3 +299,79 @@ def test_requests_are_bounded(query, top, candidates):
     with pytest.raises(ValueError):
         retrieval.check_request(query, top, candidates)
     retrieval.check_request("x", 50, 1000)
+
+
+def test_workspace_links_and_evaluation_files(spark, tmp_path):
+    root = tmp_path / "repo"
+    repository(root)
+    (root / "a+b 100%20.py").write_text("x = 1\n")
+    (root / "link.py").symlink_to(root / "src/main.rs")
+    (root / "linked").symlink_to(root / "src")
+    (root / "src/__init__.py").write_text("y = 2\n")
+    (root / "vendor").mkdir()
+    (root / "vendor/v.rs").write_text("fn v() {}")
+    kinds = {r.path: r.kind for r in corpora.files(spark, str(root)).select("path", "kind").collect()}
+    assert kinds["src/__init__.py"] == kinds["a+b 100%20.py"] == kinds["src/main.rs"] == "file" and kinds["link.py"] == "symlink"
+    assert all(k == "symlink" for p, k in kinds.items() if p.startswith("linked/"))
+    assert {r.path for r in corpora.workspace_files(spark, str(root)).select("path").collect()} == set(kinds)
+    assert corpora.workspace(str(root))[1] is False and corpora.workspace(str(root))[0] == root.resolve()
+    assert [bytes(r.content) for r in corpora.files(spark, str(root)).where("path = 'src/__init__.py'").collect()] == [b"y = 2\n"]
+    taken = {r.path: r.skip_reason for r in corpora.evaluation_files(spark, str(root), "r").collect()}
+    assert taken[".hidden/secret.rs"] is None and not any(p.startswith(("vendor", "link")) or p.endswith(".bin") for p in taken)
+    assert taken["big.json"] == "oversized_config" and taken["bad.go"] == "invalid_utf8"
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    (root / ".gitignore").write_text("*.go\n")
+    names = {r.path for r in corpora.workspace_files(spark, str(root)).select("path").collect()}
+    assert "src/main.rs" in names and "bad.go" not in names
+    assert corpora.workspace(str(root / "src"))[:2] == (root.resolve(), True)
+
+
+def test_windowed_embedding():
+    from quern.providers import WindowedEmbedder, windows
+
+    assert windows(0) == [] and windows(256) == [(0, 256)] and windows(500) == [(0, 256), (224, 480), (448, 500)]
+    seen = []
+
+    def model(batch):
+        seen.append([len(x) for x in batch])
+        return np.array([[len(x), sum(x)] for x in batch], np.float32)
+
+    e = WindowedEmbedder(lambda t: [ord(c) for c in t], model, 2, size=4, overlap=1, batch=2)
+    texts = ["abcdefgh", "a", "abc"]
+    got = e.embed_batch(texts)
+    for t, v in zip(texts, got):
+        want = sum(np.array([b - a, sum(map(ord, t[a:b]))], float) * (b - a) for a, b in windows(len(t), 4, 1))
+        assert np.allclose(v, want / np.linalg.norm(want))
+    assert [n for b in seen for n in b] == sorted(n for b in seen for n in b)
+    with pytest.raises(errors.EmptyValue):
+        e.embed_query("")
+
+
+def test_watchdog(spark):
+    from quern.progress import Watchdog
+    from quern.protocols import Cancellation
+
+    looks = []
+    with Watchdog(spark, 60, observer=lambda *seen: looks.append(seen), every=0.05):
+        assert spark.range(1000).count() == 1000
+    slow = F.udf(lambda x: __import__("time").sleep(30) or x, "long")
+    for dog in (Watchdog(spark, 2, every=0.2), Watchdog(spark, 60, cancellation=(stop := Cancellation()), every=0.2)):
+        if dog.cancellation:
+            stop.cancel()
+        with pytest.raises(errors.Stalled):
+            with dog:
+                spark.range(2).select(slow("id")).collect()
+    assert spark.range(5).count() == 5
+
+
+def test_checked_retriever(spark, tmp_path):
+    from quern.protocols import Checked, IndexStore
+
+    index = Index(spark, str(tmp_path / "i"))
+    assert isinstance(index, IndexStore)
+    with pytest.raises(errors.ReindexRequired):
+        Checked(index, Manifest(schema_version=2))
+    checked = Checked(index, Manifest())
+    for top, candidates in ((0, 10), (51, 100), (10, 5), (10, 1001)):
+        with pytest.raises(ValueError):
+            checked.search(None, top, candidates)
