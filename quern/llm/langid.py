@@ -16,9 +16,10 @@ over all labelled rows, by predicted language; a language that none of them is
 predicted as has those of all rows.
 
 Scale: counts are taken over all labelled rows: each task folds its texts to distinct
-4-grams, the sums are added by key, and come to the driver, a language at a time.  All
+4-grams, the sums are added by key, and come to the driver in blocks of whole languages.  All
 4-grams are kept, so the model grows with the distinct 4-grams of the languages, by
-some 30 bytes each, and not with the text; the driver and each worker hold one.
+some 30 bytes each, and not with the text; the driver and each worker hold one.  There
+is no limit on languages: texts are scored fewer at a time the more there are.
 Scoring is one scan without a shuffle; for calibration the scores, some 20 bytes a
 row, are kept in the shared folder and aggregated there.
 """
@@ -38,7 +39,8 @@ from pyspark.sql import types as T
 from quern.llm.common import discard, documents, field, materialize, slices
 
 ORDER = 4
-MAX_LANGUAGES = 512
+#: 4-grams that come to the driver at a time.
+FETCHED = 1 << 22
 #: Log probabilities that one step of scoring works on.
 CELLS = 1 << 23
 #: Share of the labelled rows that the length-dependent bound leaves above it.
@@ -130,7 +132,7 @@ class SparseArray(HashArray):
         starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         self._index(hashes[starts])
         self.starts = np.append(starts, len(hashes))
-        self.languages, self.values = languages[order].astype(np.uint16), values[order].astype(np.float32)
+        self.languages, self.values = languages[order].astype(np.uint32), values[order].astype(np.float32)
 
     def fill(self, keys: np.ndarray, out: np.ndarray) -> None:
         """Put the numbers held for ``keys`` into their rows of ``out``, a column for each language."""
@@ -218,6 +220,10 @@ class Model:
                 table[n] = SparseArray(np.concatenate(keys), np.repeat(np.arange(len(parts)), [len(k) for k in keys]), np.concatenate(logs))
         return model
 
+    def at_once(self) -> int:
+        """Texts that may be scored at a time."""
+        return max(1, CELLS // max(1, len(self.languages)))
+
     def _logs(self, keys: np.ndarray, n: int) -> np.ndarray:
         if n == 0:
             return np.full((len(keys), len(self.languages)), self.floor, np.float32)
@@ -304,28 +310,44 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     """
     rows = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counted = materialize(_counts(rows), "kn-counts")
-    languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} can be told apart by one model")
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for lang in languages:
-        got = counted.where(F.col("lang") == lang).select("gram", "n").toArrow()
-        counts[lang] = (got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy())
+    for block in _blocks({r.lang: r["count"] for r in counted.groupBy("lang").count().collect()}):
+        got = counted.where(F.col("lang").between(block[0], block[-1])).select("lang", "gram", "n").toArrow()
+        codes = got.column("lang").combine_chunks().dictionary_encode()
+        at, grams, n = codes.indices.to_numpy(), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(len(codes.dictionary) + 1))
+        for lang, a, b in zip(codes.dictionary.to_pylist(), edges, edges[1:]):
+            counts[lang] = (grams[order[a:b]], n[order[a:b]])
     discard(counted)
     model = Model.fit(counts, max_grams)
-    if languages:
+    if model.languages:
         _calibrate(model, rows)
     return model
 
 
+def _blocks(sizes: dict[str, int], most: int = FETCHED) -> Iterator[list[str]]:
+    """Runs of languages in string order with about ``most`` 4-grams together; a larger one is alone."""
+    block, total = [], 0
+    for lang in sorted(sizes):
+        if block and total + sizes[lang] > most:
+            yield block
+            block, total = [], 0
+        block.append(lang)
+        total += sizes[lang]
+    if block:
+        yield block
+
+
 def _calibrate(model: Model, rows: DataFrame) -> None:
     """Set each language's median cross-entropy and its bound on the excess times the root of the length, over all rows."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices([len(t) for t in texts]):
+            for a, b in slices([len(t) for t in texts], rows=sent.value.at_once()):
                 h, sizes, letters = sent.value.entropies(texts[a:b])
                 best = h.argmin(axis=1)
                 kept = letters > 0
@@ -335,8 +357,9 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     # the row of null is that of all languages
     medians = {r.lang: r.m for r in scored.rollup("lang").agg(F.percentile_approx("h", 0.5, 10_000).alias("m")).collect() if r.m is not None}
     if medians:
-        middle = F.element_at(F.create_map(*[x for k, v in medians.items() if k is not None for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-        excess = scored.select("lang", ((F.col("h") - middle) * F.col("root")).alias("x"))
+        middle = spark.createDataFrame([(k, v) for k, v in medians.items() if k is not None], "lang string, middle double")
+        # a row for each language, of which the driver and every worker hold far more
+        excess = scored.join(F.broadcast(middle), "lang").select("lang", ((F.col("h") - F.col("middle")) * F.col("root")).alias("x"))
         bounds = {r.lang: max(0.0, r.b) for r in excess.rollup("lang").agg(F.percentile_approx("x", 1 - TAIL, 10_000).alias("b")).collect()}
         model.median = {name: medians.get(name, medians[None]) for name in model.languages}
         model.bound = {name: bounds.get(name, bounds[None]) for name in model.languages}
@@ -357,7 +380,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
+            for a, b in slices([len(t or "") for t in texts], rows=sent.value.at_once()):
                 names, score, h, rejected = sent.value.predict(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score), pa.array(h), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
@@ -366,14 +389,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model doesn't reject."""
+    """The rows of ``docs``, all columns, that the model doesn't reject.
+
+    Null texts, texts without a letter and, if the model has no language, all rows are
+    rejected.  Ties go to the first language in string order; repeated rows stay or go
+    together.  An empty table gives an empty table.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for a, b in slices([len(t or "") for t in texts]):
+            for a, b in slices([len(t or "") for t in texts], rows=sent.value.at_once()):
                 rejected = sent.value.predict(texts[a:b])[3]
                 yield batch.slice(a, b - a).filter(pa.array([not r for r in rejected], pa.bool_()))
 

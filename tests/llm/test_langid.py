@@ -118,6 +118,18 @@ def test_all_grams_are_kept_however_many_languages(spark):
     assert model.predict([t[-80:] for t in texts.values()])[0] == list(texts)
 
 
+def test_a_dirty_label_column_is_no_error(spark, monkeypatch):
+    # more labels than a model used to take, most of one short text
+    monkeypatch.setattr(langid, "FETCHED", 400)
+    rows = [(t, lang) for lang, texts in TRAIN.items() for t in texts] + [(f"zz{chr(0x4E00 + i)}", f"?{i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.train(df)
+    assert model.languages == sorted({lang for _, lang in rows}) and len(model.median) == len(model.languages)
+    assert model.predict(["the cat", "le chat", f"zz{chr(0x4E00 + 77)}"])[0] == ["aa", "bb", "?77"]
+    sizes = {"a": 5, "b": 9, "c": 1, "d": 2}
+    assert list(langid._blocks(sizes, 6)) == [["a"], ["b"], ["c", "d"]]
+
+
 def test_discounts_are_those_of_all_counts():
     counts = {lang: np.unique(langid.symbols(texts)[0], return_counts=True) for lang, texts in TRAIN.items()}
     whole, cut = langid.Model.fit(counts), langid.Model.fit(counts, 5)
