@@ -247,9 +247,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs``, all columns, in which no benchmark window occurs.
 
     Nothing is shuffled: each block of the benchmark filters what the last one left.
+    A null or empty text has no word and stays; repeated rows stay or go together.
+    Items without an id count like others, items without a word never occur; an empty
+    benchmark removes nothing, an empty table gives an empty table.
     """
     for part in blocks(benchmark, item_col, item_text_col, block_bytes):
-        block = Block([(str(r.doc_id), r.text.encode() if r.text is not None else None) for r in part.collect() if r.doc_id is not None], window, k)
+        block = Block([(str(r.doc_id), r.text.encode() if r.text is not None else None) for r in part.collect()], window, k)
         sent = docs.sparkSession.sparkContext.broadcast(block)
         at = docs.columns.index(text_col)
 
