@@ -17,10 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint, links and component of every row; null and empty texts have fingerprint zero."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against its edited text and the next document; a null text is an empty one."""
     return ordermh.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
@@ -59,6 +61,7 @@ def _maintained(docs: DataFrame, tokenizers: tuple[str, ...]) -> DataFrame:
 
 
 def op3_delta_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, lang and tokenizer; nulls are keys of their own, repeated rows are copies."""
     return _maintained(_table(spark, sf_dir, "documents"), ("words", "byte_bpe_50k"))
 
 
@@ -68,6 +71,7 @@ def word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every row; null texts and texts without a letter are ``und``; a null id is not held out, and not learned from."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out("doc_id") & F.col("doc_id").isNotNull()))
     return langid.identify(docs, model).withColumn("held_out", langid.held_out("doc_id"))
@@ -85,6 +89,7 @@ def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 
 def op5_anchor_expansion_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every row; a null text is an empty one."""
     return _digest(pii.scan(_table(spark, sf_dir, "documents")), pii.BASE)
 
 
@@ -94,19 +99,23 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row; null and empty texts are one group."""
     placed = sharding.shard(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 def op7_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every row; a null text is an empty one and gives the end id alone."""
     return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_bpe_path(), keep_ids=False).drop("ids")
 
 
 def op8_layout_aware_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page; a null page has a null text."""
     return htmltext.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every row; a null text has no words."""
     found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
     return found.select(
@@ -120,6 +129,7 @@ def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every row; a null text is an empty one."""
     return _digest(secrets.scan(_table(spark, sf_dir, "documents")), secrets.BASE)
 
 
