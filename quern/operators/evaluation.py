@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,38 @@ def per_query(ranked: DataFrame, judgments: DataFrame, cutoff: int = 10, recall_
     )
 
 
+def passages_in(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, document_id, grade) of (document_id, content) for a block of (query_id, passage).
+
+    Grade 3 where the content holds the passage, 1 where it holds but its first four
+    words between blanks; a row for each item of each document.  One scan.
+    """
+    # by a head's first word: the whole head, and its item
+    heads: dict[str, list[tuple[list[str], int, str, str]]] = {}
+    for nth, r in enumerate(items.collect()):
+        words = r.passage.split(" ")[:4]
+        heads.setdefault(words[0], []).append((words, nth, r.query_id, r.passage))
+    shared = docs.sparkSession.sparkContext.broadcast(heads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = shared.value
+        for batch in batches:
+            rows = []
+            for document_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if (content := content.as_py()) is None:
+                    continue
+                words, seen = content.split(" "), set()
+                for at, word in enumerate(words):
+                    for head, nth, query_id, passage in heads.get(word, ()):
+                        if nth not in seen and words[at : at + len(head)] == head:
+                            seen.add(nth)
+                            rows.append((query_id, document_id, 3 if passage in content else 1))
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32()))], ["query_id", "document_id", "grade"])
+
+    return docs.select("document_id", "content").mapInArrow(run, "query_id string, document_id string, grade int")
+
+
 def macro(metrics: DataFrame, *by: str) -> DataFrame:
     """Means over queries, in all or by group: ndcg, recall, mrr, queries."""
     return metrics.groupBy(*by).agg(F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"), F.avg("reciprocal_rank").alias("mrr"), F.count(F.lit(1)).alias("queries"))

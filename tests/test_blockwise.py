@@ -58,3 +58,49 @@ def test_hash_rank_equals_the_expression(spark, monkeypatch):
         got = retrieval.hash_rank(queries, docs, limit, 200)
         assert {tuple(map(str, x)) for x in got.collect()} == pairs(docs, queries, identity.stable_score(F.col("text"), F.col("document_id")), limit)
     assert "NestedLoop" not in plan(got)
+
+
+CORPUS = [("1", "s/1", "Alpha beta beta runningFast"), ("2", "s/2", "beta über Straße gamma"), ("10", "t/10", None), ("3", "t/3", ""), ("4", "t/4", "alpha alpha the walked walked")]
+
+
+def test_profiles_hold_what_the_terms_rows_hold_and_shuffle_nothing(spark):
+    from quern.functions import text
+    from quern.operators import indexing
+
+    docs = spark.createDataFrame(CORPUS, "document_id string, path string, content string")
+    rows = None
+    for name, weight in zip(("content", "path", "document_id"), indexing.WEIGHTS):
+        one = text.analyze(docs, F.col(name), "document_id").withColumn("w", F.lit(weight))
+        rows = one if rows is None else rows.unionByName(one)
+    want = {tuple(r) for r in rows.groupBy("document_id", "term").agg(F.sum("w")).collect()}
+    held = indexing.profiles(docs)
+    assert "Exchange" not in plan(held)
+    assert {(r.document_id, t, n) for r in held.collect() for t, n in zip(r.terms, r.frequencies)} == want
+    assert {r.document_id: r.token_count for r in held.collect()} == {r.document_id: sum(n for d, _, n in want if d == r.document_id) for r in held.collect()}
+    # an id of two rows is one document with the terms of both
+    twice = indexing.profiles(docs.unionByName(docs.where("document_id = '1'")))
+    got = {r.document_id: r for r in twice.collect()}
+    assert twice.count() == 5 and dict(zip(got["1"].terms, got["1"].frequencies)) == {t: 2 * n for d, t, n in want if d == "1"}
+    assert got["1"].token_count == 2 * sum(got["1"].frequencies)
+
+
+def test_bm25_over_profiles_shuffles_no_postings(spark):
+    from quern.operators import indexing
+
+    docs = spark.createDataFrame(CORPUS, "document_id string, path string, content string")
+    queries = spark.createDataFrame([("a", "alpha beta"), ("b", "walked nowhere"), ("c", "the")], "query_id string, text string")
+    terms = indexing.weighted_terms(docs)
+    want = retrieval.bm25(indexing.with_token_count(docs, terms), terms, queries, 3)
+    got = retrieval.bm25_profiles(indexing.profiles(docs), queries, 3)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.where("query_id = 'a'").count() == 3
+    assert "SortMergeJoin" not in plan(got) and "hashpartitioning(document_id" not in plan(got)
+
+
+def test_passages_are_graded_in_one_scan(spark):
+    from quern.operators import evaluation
+
+    docs = spark.createDataFrame([("1", "x one two three four five y"), ("2", "one two three four six"), ("3", "zone two three four five"), ("4", "short"), ("5", None)], "document_id string, content string")
+    items = spark.createDataFrame([("p", "one two three four five"), ("q", "short"), ("r", "one two three four five")], "query_id string, passage string")
+    got = evaluation.passages_in(docs, items)
+    assert "Exchange" not in plan(got) and "Join" not in plan(got)
+    assert {tuple(r) for r in got.collect()} == {("p", "1", 3), ("r", "1", 3), ("p", "2", 1), ("r", "2", 1), ("q", "4", 3)}
