@@ -9,7 +9,8 @@ published as it was.
 Scale: an update analyzes and writes what is new, and reads of the rest only ids and the
 terms' ids; a document is live if no later segment names it dead.  After
 ``MOST_SEGMENTS`` updates the live rows are copied into one segment, without a new
-analysis.  Terms are clustered by term in ranges, which split a common one.
+analysis.  Terms lie in runs that are sorted by term, each of some documents: a scan
+for a few terms reads a few pages of each.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quern.errors import CorpusError, SearchError
 from quern.functions import vectors
 from quern.manifest import Manifest
 from quern.operators import indexing, retrieval
-from quern.operators.common import nonblank, require
+from quern.operators.common import broadcast_if_small, nonblank, require
 from quern.operators.incremental import cache_hits, duplicate_ids, generations_to_remove
 from quern.providers import Embedder, embed
 
@@ -33,6 +34,8 @@ INT8 = "int8_per_vector_scale_offset"
 MOST_SEGMENTS = 8
 #: Distinct query terms that are pushed down to the scan of the terms.
 PUSHED_TERMS = 256
+#: Ids of dead documents up to which these are broadcast, so that texts and terms aren't shuffled.
+BROADCAST_IDS = 1_000_000
 
 DOCUMENTS = "document_id string, path string, language string, content string, embedding array<float>"
 
@@ -107,7 +110,7 @@ class Index:
                 gone = self.spark.read.parquet(f"{self.path}/{segment}/dead").select("document_id", F.lit(nth).alias("__dead"))
                 dead = gone if dead is None else dead.unionByName(gone)
         # a document may have died several times: the last counts
-        last = dead.groupBy(F.col("document_id").alias("__id")).agg(F.max("__dead").alias("__dead"))
+        last = broadcast_if_small(dead.groupBy(F.col("document_id").alias("__id")).agg(F.max("__dead").alias("__dead")), BROADCAST_IDS)
         return rows.join(last, (F.col("document_id") == F.col("__id")) & (F.col("__segment") < F.col("__dead")), "left_anti").drop("__segment")
 
     def documents(self) -> DataFrame:
@@ -150,34 +153,30 @@ class Index:
         if self.manifest.model_id != "none":
             short = F.size("embedding") == self.manifest.mrl_dim
             docs = require(docs, F.col("embedding").isNull() | (short & vectors.is_finite(F.col("embedding"))), F.concat(F.lit("bad vector of "), F.col("document_id")))
-        docs.write.parquet(f"{where}/staged")
+        indexing.profiled(docs).write.parquet(f"{where}/staged")
         staged = self.spark.read.parquet(f"{where}/staged")
         if twice := duplicate_ids(staged).take(1):
             raise CorpusError(f"duplicate document {twice[0][0]}")
         return staged
 
-    def _write_terms(self, terms: DataFrame, where: str) -> DataFrame:
-        """Terms in ranges of term and document, so that a common term has many files and a scan finds few."""
-        terms.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id").write.parquet(f"{where}/terms")
-        return self.spark.read.parquet(f"{where}/terms")
-
     def _segment(self, docs: DataFrame, dead: DataFrame | None) -> str:
         """Write a segment of new documents; ``dead`` are ids, live or not, that it replaces or deletes."""
         name = f"seg-{time.time_ns()}"
         where = f"{self.path}/{name}"
         staged = self._checked(docs, where)
-        terms = self._write_terms(indexing.weighted_terms(staged), where)
+        indexing.weighted_terms(staged).write.parquet(f"{where}/terms")
+        terms = self.spark.read.parquet(f"{where}/terms")
         stats = indexing.term_stats(terms)
         if dead is not None:
             gone = dead.select("document_id").unionByName(staged.select("document_id")).distinct()
             live = self.documents().select("document_id").join(gone, "document_id", "left_semi")
             live.write.parquet(f"{where}/dead")
-            gone = self.spark.read.parquet(f"{where}/dead")
+            gone = broadcast_if_small(self.spark.read.parquet(f"{where}/dead"), BROADCAST_IDS)
             lost = indexing.term_stats(self.terms().join(gone, "document_id", "left_semi"))
             stats = stats.unionByName(lost.withColumn("document_frequency", -F.col("document_frequency")))
             stats = stats.groupBy("term").agg(F.sum("document_frequency").alias("document_frequency")).where("document_frequency <> 0")
         stats.write.parquet(f"{where}/term_stats")
-        out = indexing.with_token_count(staged, terms)
+        out = staged.drop("terms", "frequencies")
         if self.manifest.quantization == INT8:
             out = indexing.quantize(out)
         out.write.parquet(f"{where}/documents")
@@ -222,7 +221,7 @@ class Index:
         """Publish the live rows as one segment; nothing is analyzed again."""
         name = f"seg-{time.time_ns()}"
         where = f"{self.path}/{name}"
-        self._write_terms(self.terms(), where)
+        self.terms().write.parquet(f"{where}/terms")
         self.term_stats().write.parquet(f"{where}/term_stats")
         self.documents().write.parquet(f"{where}/documents")
         return self._publish([name])

@@ -375,3 +375,16 @@ def test_checked_retriever(spark, tmp_path):
     for top, candidates in ((0, 10), (51, 100), (10, 5), (10, 1001)):
         with pytest.raises(ValueError):
             checked.search(None, top, candidates)
+
+
+def test_a_segment_shuffles_no_terms_and_lies_in_runs(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"))
+    index.replace(docs(spark, ("a", "gamma alpha", None), ("b", "beta alpha", None)).coalesce(1))
+    segment = tmp_path / "i" / index.segments()[0]
+    assert sorted(p.name for p in segment.iterdir()) == ["documents", "term_stats", "terms"]
+    for f in (segment / "terms").glob("*.parquet"):
+        terms = [r.term for r in spark.read.parquet(str(f)).collect()]
+        assert terms == sorted(terms)
+    index.update(docs(spark, ("a", "delta", None)), spark.createDataFrame([], "document_id string"))
+    assert "SortMergeJoin" not in index.terms()._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.term for r in index.terms().where("document_id = 'a' AND term <> 'a'").collect())[0] == "delta"
