@@ -194,3 +194,48 @@ def test_long_texts_are_split_in_linear_time():
     start = time.time()
     out = chunking.split(text, "generic", chunking.Config(max_bytes=None, max_input=1 << 40))
     assert time.time() - start < 30 and sum(out.sizes) == 800_000
+
+
+BITS = ["x = 1 \\\n", "def f(a):\n    return a\n", "@d\n", "if x:\n    y\n", "else:\n    z\n", "s = '''a\n", "'''\n", "y = (1,\n", "2)\n", "# c\n", "\n", "class C:\n  def g(self):\n    return 'é'\n\n  x = 2\n", "a; b = 3\n", "\\\n", "  ind\n", "\x0cf()\n", "# coding: latin-1\n", "print(1)\r\n", "é\n"]
+
+
+def flat(node):
+    return (node.kind, node.start, node.end, tuple(map(flat, node.children)))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(BITS), min_size=1, max_size=6))
+def test_a_tree_of_parts_is_the_tree_of_the_whole(bits):
+    data = "".join(bits).encode()
+    if (found := chunking.python_parts(data)) is not None:
+        assert flat(found) == flat(chunking.python_tree(data))
+
+
+def test_equal_parts_are_parsed_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(chunking, "_parts", {})
+    monkeypatch.setattr(chunking.ast, "parse", lambda *a: parsed.append(a))
+    monkeypatch.setattr(chunking, "compile", lambda *a: parsed.append(a) or compile(*a), raising=False)
+    text = "def f(x):\n    return 'a' + x\n\n" * 500
+    out = split(text, "python", Config(max_size=20))
+    assert len(parsed) == 1 and len(out.pieces) == 167 and out.strategy == "ast"
+    covers(text, out, Config(max_size=20))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab é\u3000\x1c\x85\n🙂\xa0", min_size=1, max_size=40))
+def test_words_of_ranges_are_those_of_split(text):
+    source = chunking._Source(text.encode(), chunking.word_sizer)
+    bounds = [len(text[:i].encode()) for i in range(len(text) + 1)]
+    size = source.between(bounds)
+    for i in range(len(bounds)):
+        for j in range(i, len(bounds)):
+            assert size(i, j) == source.size(bounds[i], bounds[j]) == len(text[i:j].split())
+
+
+def test_chunks_with_some_columns_alone(spark):
+    docs = spark.createDataFrame([("py", "python", CODE["python"]), ("no", "text", None)], "document_id string, language string, content string")
+    some = ("ordinal", "end_byte", "node_kinds")
+    for method in ("tree", "lexical", "fixed"):
+        want = chunking.chunk(docs, method, Config(max_size=20)).select(*some).orderBy("ordinal").collect()
+        assert chunking.chunk(docs, method, Config(max_size=20), columns=some).orderBy("ordinal").collect() == want
