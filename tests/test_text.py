@@ -75,3 +75,41 @@ def test_stable_score_is_fnv(spark):
             h = (h ^ b) * 0x100000001B3 % 2**64
         got = spark.createDataFrame([(q, d)], "q string, d string").select(identity.stable_score(F.col("q"), F.col("d"))).head()[0]
         assert got == (h >> 41) / 2**23
+
+
+def test_the_analyzer_of_workers_gives_what_the_expressions_give(spark):
+    import random
+
+    from quern.functions import text
+
+    r = random.Random(3)
+    alphabet = "aBcDéÉßẞσςΣİıǅ中ⅣⅷⓐⒶ٣²𝐀𝐚𐐀𐐨\U0001F600 _-/.0z\u0301\u0345ᾳ"
+    rows = ["".join(r.choice(alphabet) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    rows += ["".join(chr(c) for c in (r.randint(1, 0xD7FF), r.randint(0xE000, 0x1FFFF), r.randint(65, 122), r.randint(0xA0, 0x24FF))) for _ in range(3000)]
+    rows += [w + s for w in ("ab", "éa", "中a", "abc", "ééx", "𝐚", "organ", "XMLParser", "the") for s in (*text.SUFFIXES, "izations", "edlys", "")] + ["", "The OF andWhere", "HTTPServerIsRunning x1Y2"]
+    found = spark.createDataFrame([(x,) for x in rows], "t string").select("t", text.terms_of(text.F.col("t")).alias("terms")).collect()
+    own = text.analyzer(*text.alphabet(spark))
+    for row in found:
+        assert [t for token in own.tokens(row.t) for t in own.terms(token)] == row.terms, row.t
+
+
+def test_counts_alone_are_those_of_profiles(spark):
+    from quern.operators import indexing
+
+    docs = spark.createDataFrame([("1", "s/1", "Alpha beta betaGamma"), ("2", "s/2", None), ("3", "", ""), ("1", "s/9", "more words"), (None, "p", "x")], "document_id string, path string, content string")
+    for weights in (indexing.WEIGHTS, (1, 0, 0)):
+        want = {(r.document_id, r.token_count) for r in indexing.profiles(docs, weights).collect()}
+        assert {tuple(r) for r in indexing.profiles(docs, weights, lists=False).collect()} == want
+
+
+def test_profiles_of_several_weights_and_of_some_terms(spark):
+    from quern.operators import indexing
+
+    docs = spark.createDataFrame([("1", "s/1", "Alpha beta betaGamma"), ("2", "s/2", None), ("3", "", ""), ("1", "s/9", "more beta")], "document_id string, path string, content string")
+    whole, only = [(1, 3, 2), (1, 0, 0)], frozenset({"beta", "1", "none"})
+    for rows in (docs, docs.where("path <> 's/9'")):
+        got = {(r.variant, r.document_id): (r.token_count, dict(zip(r.terms, r.frequencies))) for r in indexing.profiles(rows, *whole, only=only).collect()}
+        for i, weights in enumerate(whole):
+            for r in indexing.profiles(rows, weights).collect():
+                assert got.pop((i, r.document_id)) == (r.token_count, {t: n for t, n in zip(r.terms, r.frequencies) if t in only})
+        assert not got
