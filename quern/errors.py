@@ -39,6 +39,10 @@ class CorpusError(SearchError):
     """A corpus can't be read: blank, duplicate or missing documents."""
 
 
+class EmptyCorpus(CorpusError):
+    """A corpus has no document."""
+
+
 class RetrieverError(SearchError):
     """A query or its candidates break a contract."""
 

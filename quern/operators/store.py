@@ -21,7 +21,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.errors import CorpusError, SearchError
+from quern.errors import CorpusError, EmptyCorpus, SearchError
 from quern.functions import vectors
 from quern.manifest import Manifest
 from quern.operators import indexing, retrieval
@@ -153,7 +153,8 @@ class Index:
         if self.manifest.model_id != "none":
             short = F.size("embedding") == self.manifest.mrl_dim
             docs = require(docs, F.col("embedding").isNull() | (short & vectors.is_finite(F.col("embedding"))), F.concat(F.lit("bad vector of "), F.col("document_id")))
-        indexing.profiled(docs).write.parquet(f"{where}/staged")
+        # soon read twice and removed
+        indexing.profiled(docs).write.option("compression", "zstd").parquet(f"{where}/staged")
         staged = self.spark.read.parquet(f"{where}/staged")
         if twice := duplicate_ids(staged).take(1):
             raise CorpusError(f"duplicate document {twice[0][0]}")
@@ -164,6 +165,9 @@ class Index:
         name = f"seg-{time.time_ns()}"
         where = f"{self.path}/{name}"
         staged = self._checked(docs, where)
+        if dead is None and staged.isEmpty():
+            self._remove(name)
+            raise EmptyCorpus("the corpus is empty")
         indexing.weighted_terms(staged).write.parquet(f"{where}/terms")
         terms = self.spark.read.parquet(f"{where}/terms")
         stats = indexing.term_stats(terms)
@@ -206,8 +210,6 @@ class Index:
 
     def replace(self, docs: DataFrame) -> str:
         """Publish a corpus anew; on an error what was published stays."""
-        if docs.isEmpty():
-            raise CorpusError("the corpus is empty")
         return self._publish([self._segment(docs, None)])
 
     def update(self, new: DataFrame, stale: DataFrame) -> str:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quern.errors import EmptyCorpus
 from quern.operators import chunking, incremental
-from quern.operators.common import nonblank
+from quern.operators.common import broadcast_if_small, nonblank
 from quern.operators.store import Index
 
 FILE_SCHEMA = "path string, content string, language string"
@@ -20,17 +21,34 @@ def documents_of(files: DataFrame, config: chunking.Config = chunking.Config())
     return chunks.select(F.col("chunk_id").alias("document_id"), F.col("document_id").alias("path"), "language", F.col("text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
 
 
+def latest(files: DataFrame) -> DataFrame:
+    """A row of (path, content, language) for each path: of several the greatest content, of equal ones the greatest language.
+
+    Only the rows of paths that recur are shuffled.
+    """
+    rows = files.select("path", "content", "language")
+    again = incremental.duplicate_ids(rows.withColumnRenamed("path", "__path"), "__path").select("__path")
+    if again.isEmpty():
+        return rows
+    again, same = broadcast_if_small(again), F.col("path").eqNullSafe(F.col("__path"))
+    # null is the least content
+    some = rows.join(again, same, "left_semi").groupBy("path").agg(F.max(F.struct("content", "language")).alias("row"))
+    return rows.join(again, same, "left_anti").unionByName(some.select("path", "row.content", "row.language"))
+
+
 def apply_batch(index: Index, files: DataFrame) -> str | None:
     """Replace the chunks of the files of a batch; a null content removes its file.
 
     Of a path that occurs twice in a batch the greatest content counts, so a replayed
     batch gives the same documents.
     """
-    latest = files.groupBy("path").agg(F.max("content").alias("content"), F.max_by("language", F.coalesce("content", F.lit(""))).alias("language"))
-    new = documents_of(latest.where("content IS NOT NULL"))
+    new = documents_of(latest(files).where("content IS NOT NULL"))
     if index.active() is None:
-        return None if new.isEmpty() else index.replace(new)
-    stale = index.documents().join(latest.select("path"), "path", "left_semi").select("document_id")
+        try:
+            return index.replace(new)
+        except EmptyCorpus:
+            return None
+    stale = index.documents().join(files.select("path"), "path", "left_semi").select("document_id")
     return index.update(new, stale)
 
 

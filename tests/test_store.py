@@ -388,3 +388,26 @@ def test_a_segment_shuffles_no_terms_and_lies_in_runs(spark, tmp_path):
     index.update(docs(spark, ("a", "delta", None)), spark.createDataFrame([], "document_id string"))
     assert "SortMergeJoin" not in index.terms()._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.term for r in index.terms().where("document_id = 'a' AND term <> 'a'").collect())[0] == "delta"
+
+
+def test_a_batch_is_evaluated_once_and_only_recurring_paths_are_shuffled(spark, tmp_path):
+    rows = [("a.md", "one", "markdown"), ("b.md", "two", "markdown"), (None, "three", None)]
+    files = spark.createDataFrame(rows, ingest.FILE_SCHEMA)
+    assert "Exchange" not in ingest.latest(files)._jdf.queryExecution().executedPlan().toString()
+    more = [("a.md", "zwei", "text"), ("a.md", None, "zz"), (None, "four", "x"), ("b.md", "two", None), ("c.md", None, "text"), ("c.md", "", None)]
+    got = ingest.latest(files.unionByName(spark.createDataFrame(more, ingest.FILE_SCHEMA)))
+    assert {tuple(r) for r in got.collect()} == {("a.md", "zwei", "text"), ("b.md", "two", "markdown"), (None, "three", None), ("c.md", "", None)} and got.count() == 4
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    index = Index(spark, str(tmp_path / "i"))
+    index.replace(docs(spark, ("a", "alpha", None), ("b", "beta", None)).mapInArrow(counted, DOCUMENTS))
+    assert seen.value == 2
+    # a first batch of blank files publishes nothing and leaves nothing
+    blank = Index(spark, str(tmp_path / "blank"))
+    assert ingest.apply_batch(blank, spark.createDataFrame([("a.md", " ", "markdown")], ingest.FILE_SCHEMA)) is None
+    assert blank.active() is None and not list((tmp_path / "blank").glob("seg-*"))
