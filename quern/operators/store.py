@@ -183,7 +183,7 @@ class Index:
         out = staged.drop("terms", "frequencies")
         if self.manifest.quantization == INT8:
             out = indexing.quantize(out)
-        out.write.parquet(f"{where}/documents")
+        out.write.option("compression", "zstd").parquet(f"{where}/documents")
         self._remove(f"{name}/staged")
         return name
 

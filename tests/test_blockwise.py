@@ -104,3 +104,17 @@ def test_passages_are_graded_in_one_scan(spark):
     got = evaluation.passages_in(docs, items)
     assert "Exchange" not in plan(got) and "Join" not in plan(got)
     assert {tuple(r) for r in got.collect()} == {("p", "1", 3), ("r", "1", 3), ("p", "2", 1), ("r", "2", 1), ("q", "4", 3)}
+
+
+def test_runs_of_postings_are_bounded_and_sorted(spark, monkeypatch):
+    from quern.operators import indexing
+
+    held = [("1", ["b", "d"], [1, 2]), ("2", [], []), ("3", ["a", "b", "c", "e"], [3, 4, 5, 6]), ("4", ["a"], [7]), ("5", ["a", "c"], [8, 9])]
+    rows = spark.createDataFrame(held, "document_id string, terms array<string>, frequencies array<long>").coalesce(1)
+    monkeypatch.setattr(indexing, "RUN_TERMS", 3)
+    got = [tuple(r) for r in indexing.postings(rows).collect()]
+    assert got == [("1", "b", 1), ("1", "d", 2), ("3", "a", 3), ("3", "b", 4), ("3", "c", 5), ("3", "e", 6), ("4", "a", 7), ("5", "a", 8), ("5", "c", 9)]
+    # tokens beyond those that are kept are analyzed again
+    monkeypatch.setattr("quern.functions.text.Analyzer.KEPT", 4)
+    docs = spark.createDataFrame(CORPUS, "document_id string, path string, content string")
+    assert indexing.profiles(docs).count() == 5
